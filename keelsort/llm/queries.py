@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keelsort.llm import bpe, lsm, pack
+from keelsort.llm import bpe, lsm, pack, toxic
 
 #: Folder of public tokenizer files; never copied.
 TOKENIZERS = os.environ.get("KEELSORT_TOKENIZERS", "/opt/tokenizers")
@@ -33,6 +33,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), word_bpe())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxic.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    return toxic.scores(docs, model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack_documents(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -40,6 +47,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 
