@@ -62,17 +62,31 @@ def bounded_filter(keys: DataFrame, key: str) -> DataFrame:
     )
 
 
-def semi_by_filter(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be in ``keys``; a superset, pruned before any shuffle.
-
-    The broadcast side has ``FILTER_WORDS`` rows at most. Follow with an exact join.
-    """
+def _maybe(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
     h = F.xxhash64(F.col(key))
     small = F.broadcast(bounded_filter(keys, key))
     hit = (F.pmod(h, F.lit(FILTER_WORDS)).cast("int") == F.col("_word")) & (
         F.call_function("shiftright", F.col("_bits"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
     )
-    return df.join(small, hit, "left_semi")
+    return df.join(small, hit, how)
+
+
+def semi_by_filter(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in ``keys``; a superset, pruned before any shuffle.
+
+    The broadcast side has ``FILTER_WORDS`` rows at most. Follow with an exact join.
+    """
+    return _maybe(df, keys, key, "left_semi")
+
+
+def anti_by_filter(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The other rows of ``df``: surely not in ``keys``."""
+    return _maybe(df, keys, key, "left_anti")
+
+
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Exact anti join that shuffles only the rows which may be in ``keys``."""
+    return anti_by_filter(df, keys, key).unionByName(semi_by_filter(df, keys, key).join(keys.select(key).distinct(), key, "left_anti").select(df.columns))
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int):

@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keelsort.llm import bpe, lsm, pack, toxic
+from keelsort.llm import bpe, cover, lsm, pack, toxic
 
 #: Folder of public tokenizer files; never copied.
 TOKENIZERS = os.environ.get("KEELSORT_TOKENIZERS", "/opt/tokenizers")
@@ -29,6 +29,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -46,6 +50,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
@@ -60,4 +65,21 @@ ORACLES = {
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept,
                sha256(t) AS text_sha256
         FROM d""",
+    "op5_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), s AS (
+            SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13
+        ), g AS (
+            SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS k FROM s
+        ), m AS (
+            SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM g
+        ), gone AS (
+            SELECT DISTINCT doc_id, i + j AS word_no FROM (SELECT doc_id, i, unnest(range(0, 13)) AS j FROM m WHERE least < doc_id)
+        ), r AS (
+            SELECT doc_id, list(word_no) AS ats FROM gone GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ats), 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(array_to_string(list_filter(w, lambda x, p: ats IS NULL OR NOT list_contains(ats, p)), ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id)""",
 }
