@@ -106,9 +106,17 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int):
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
-    """The column as large_string, null as empty."""
-    col = batch.column(batch.schema.get_field_index(column))
-    return pc.fill_null(pc.cast(col, pa.large_string()), "")
+    """The column as large_string, null as empty, with its bytes from offset 0: some kernels misread slices."""
+    col = pc.fill_null(pc.cast(batch.column(batch.schema.get_field_index(column)), pa.large_string()), "")
+    if not len(col):
+        return pa.array([], pa.large_string())
+    buffers = col.buffers()
+    ends = np.frombuffer(buffers[1], dtype=np.int64)[col.offset : col.offset + len(col) + 1]
+    if ends[0] == 0 and col.offset == 0:
+        return col
+    size = int(ends[-1] - ends[0])
+    data = buffers[2].slice(int(ends[0]), size) if buffers[2] is not None else pa.py_buffer(b"")
+    return pa.LargeStringArray.from_buffers(len(col), pa.py_buffer(ends - ends[0]), data)
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
