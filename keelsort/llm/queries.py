@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keelsort.llm import bpe, cover, lsm, pack, toxic
+from keelsort.llm import bpe, chosen, cover, lsm, pack, toxic
 
 #: Folder of public tokenizer files; never copied.
 TOKENIZERS = os.environ.get("KEELSORT_TOKENIZERS", "/opt/tokenizers")
@@ -33,6 +33,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover.removal_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen.near_groups(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -51,6 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
