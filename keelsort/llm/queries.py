@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keelsort.llm import bpe, chosen, cover, lsm, pack, toxic
+from keelsort.llm import bpe, chosen, cover, lsm, pack, pages, rabit, toxic
 
 #: Folder of public tokenizer files; never copied.
 TOKENIZERS = os.environ.get("KEELSORT_TOKENIZERS", "/opt/tokenizers")
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return rabit.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
@@ -37,6 +42,10 @@ def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.near_groups(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, sf_dir, "documents"), word_bpe())
 
@@ -53,9 +62,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_minhash_dedup": op6_minhash_dedup,
+    "op7_html_extraction": op7_html_extraction,
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
