@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from keelsort.llm import bpe, chosen, cover, lsm, pack, pages, rabit, toxic
+from keelsort.llm import backoff, bpe, chosen, cover, fuzzy_lines, lsm, pack, pages, rabit, toxic
 
 #: Folder of public tokenizer files; never copied.
 TOKENIZERS = os.environ.get("KEELSORT_TOKENIZERS", "/opt/tokenizers")
@@ -25,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.near_lines(table(spark, sf_dir, "documents"))
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = backoff.scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_backoff", F.round("log_score", 4).alias("log_score"))
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return rabit.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -62,6 +71,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_substring_dedup": op5_substring_dedup,
@@ -73,6 +84,24 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_lm_scoring": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), t AS (
+            SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d
+        ), g AS (
+            SELECT doc_id, i, w[i] AS w1, CASE WHEN i > 1 THEN w[i - 1] END AS w0 FROM t
+        ), u AS (SELECT w1, count(*) AS c FROM g GROUP BY w1),
+        b AS (SELECT w0, w1, count(*) AS c FROM g WHERE w0 IS NOT NULL GROUP BY w0, w1),
+        s AS (
+            SELECT g.doc_id,
+                   CASE WHEN b.c >= 2 THEN ln(b.c / x.c::DOUBLE)
+                        ELSE ln(u.c / (SELECT count(*) FROM g)::DOUBLE) + CASE WHEN g.w0 IS NULL THEN 0 ELSE ln(0.4) END END AS score,
+                   CASE WHEN g.w0 IS NOT NULL AND b.c < 2 THEN 1 ELSE 0 END AS off
+            FROM g JOIN u ON u.w1 = g.w1 LEFT JOIN b ON b.w0 = g.w0 AND b.w1 = g.w1 LEFT JOIN u AS x ON x.w1 = g.w0
+        ), p AS (SELECT doc_id, count(*) AS n_words, sum(off) AS n_backoff, sum(score) AS score FROM s GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(n_backoff, 0) AS BIGINT) AS n_backoff, round(coalesce(score, 0), 4) AS log_score
+        FROM d LEFT JOIN p USING (doc_id)""",
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
         SELECT doc_id,
