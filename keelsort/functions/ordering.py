@@ -11,6 +11,8 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from keelsort.session import settle
+
 NULL_PLACEMENTS = ("at_end", "at_start")
 #: Columns that `with_position` adds.
 POSITION = ("_row_file", "_row_index")
@@ -113,7 +115,8 @@ def frequency_ranks(df: DataFrame, column: str) -> DataFrame:
     counts = value_counts(df, column).where("value is not null")
     order = [F.desc("n"), F.asc("value")]
     parts = counts.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    own = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    # written once: another evaluation would draw other range bounds
+    own = settle(parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
     sizes = own.groupBy("_part").agg(F.max("_at").alias("size"))
     starts = sizes.select("_part", F.coalesce(F.sum("size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     # a row for each part: bounded by the number of shuffle partitions
@@ -124,7 +127,7 @@ def dense_ranks(df: DataFrame, column: str) -> DataFrame:
     """Rows (value, rank): distinct values by rising value, from 0; null has no rank."""
     values = df.select(col(column).alias("value")).where("value is not null").distinct().withColumn("n", F.lit(0))
     parts = values.repartitionByRange("value").withColumn("_part", F.spark_partition_id())
-    own = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy("value")))
+    own = settle(parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy("value"))))
     sizes = own.groupBy("_part").agg(F.max("_at").alias("size"))
     starts = sizes.select("_part", F.coalesce(F.sum("size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     return own.join(F.broadcast(starts), "_part").select("value", (F.col("start") + F.col("_at") - 1).cast("long").alias("rank"))

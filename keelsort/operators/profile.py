@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from keelsort.functions.ordering import POSITION, col, run_counts, sortable, with_position
 from keelsort.plans.models import ColumnProfile
+from keelsort.session import settle
 
 SAMPLE_ROWS = 250_000
 STRATA = 16
@@ -38,7 +39,8 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "_row") -> Data
     from pyspark.sql import Window
 
     parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    own = parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    # written once: another evaluation would draw other range bounds
+    own = settle(parts.withColumn("_at", F.row_number().over(Window.partitionBy("_part").orderBy(*order))))
     sizes = own.groupBy("_part").agg(F.max("_at").alias("size"))
     starts = sizes.select("_part", F.coalesce(F.sum("size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     # a row for each part: bounded by the number of shuffle partitions

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -42,3 +43,19 @@ def ship(spark: SparkSession) -> None:
                     full = os.path.join(folder, name)
                     z.write(full, os.path.join("keelsort", os.path.relpath(full, root)))
     spark.sparkContext.addPyFile(path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below `spark.checkpoint.dir`; a local default is set only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        base = "/tmp/checkpoints/keelsort"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write as Parquet in the shared folder and read back: computed once, also where executors are lost."""
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
