@@ -113,7 +113,7 @@ def _windows(buckets: int, window: int):
                 h = word_hashes(flat)
                 n = np.diff(offsets)
                 places = part.column(part.schema.get_field_index("places"))
-                count = np.asarray(pc.list_value_length(places))
+                count = np.asarray(pc.fill_null(pc.list_value_length(places), 0))
                 doc_of = np.repeat(np.arange(len(n)), count)
                 at = offsets[:-1][doc_of] + np.asarray(pc.list_flatten(places)).astype(np.int64)
                 # windows that hold a shared anchor start on it or up to PERIOD - 1 words before
@@ -182,7 +182,7 @@ def _cut(texts: pa.Array, places, whole, window: int):
     n = np.diff(offsets)
     gone = np.zeros(len(flat) + 1, dtype=np.int32)
     if places is not None:
-        count = np.asarray(pc.list_value_length(places))
+        count = np.asarray(pc.fill_null(pc.list_value_length(places), 0))
         doc_of = np.repeat(np.arange(len(n)), count)
         at = offsets[:-1][doc_of] + np.asarray(pc.list_flatten(places)).astype(np.int64)
         np.add.at(gone, at, 1)
