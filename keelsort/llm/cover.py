@@ -89,7 +89,17 @@ def _by_key(key: np.ndarray, place: np.ndarray) -> pa.Table:
     return pa.table({"key": pa.array(key[starts], pa.int64()), "places": lists})
 
 
-def _shared(table: pa.Table) -> pa.Table:
+def _slots(key: np.ndarray, place: np.ndarray, slots: int) -> pa.Table:
+    """Places dealt by their key to slots, packed: as many rows as slots, however many keys."""
+    return pa.Table.from_batches([_packed((mix(key.view(np.uint64)) % np.uint64(slots)).astype(np.int64), [key, place], ["key", "place"]).rename_columns(["slot", "key", "place"])])
+
+
+def _gathered(table: pa.Table) -> pa.Table:
+    """All places of each key of a slot."""
+    return _by_key(_joined(table, "key", np.int64), _joined(table, "place", np.int32))
+
+
+def _shared(table: pa.Table, slots: int) -> pa.Table:
     """Places of anchors that more than one text has."""
     h, key, place = _joined(table, "hash", np.uint64), _joined(table, "key", np.int64), _joined(table, "place", np.int32)
     order = np.argsort(h, kind="stable")
@@ -100,7 +110,7 @@ def _shared(table: pa.Table) -> pa.Table:
     starts = np.flatnonzero(new)
     low, high = np.minimum.reduceat(key, starts), np.maximum.reduceat(key, starts)
     keep = (low != high)[group]
-    return _by_key(key[keep], place[keep])
+    return _slots(key[keep], place[keep], slots)
 
 
 def _windows(buckets: int, window: int):
@@ -134,7 +144,7 @@ def _windows(buckets: int, window: int):
     return run
 
 
-def _repeats(table: pa.Table) -> pa.Table:
+def _repeats(table: pa.Table, slots: int) -> pa.Table:
     """Starts of windows that a text with a smaller identifier has too."""
     a, b = _joined(table, "a", np.uint64), _joined(table, "b", np.uint32)
     key, ids, place = _joined(table, "key", np.int64), _joined(table, "id", np.int64), _joined(table, "place", np.int32)
@@ -145,7 +155,7 @@ def _repeats(table: pa.Table) -> pa.Table:
     starts = np.flatnonzero(new)
     least = np.minimum.reduceat(ids, starts)[np.cumsum(new) - 1]
     keep = ids > least
-    return _by_key(key[keep], place[keep])
+    return _slots(key[keep], place[keep], slots)
 
 
 def _row_key():
@@ -164,15 +174,16 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     buckets = parts_for(docs, BUCKET_BYTES)
     digests = settle(docs.select("doc_id", "key", F.xxhash64("text", F.lit(1)).alias("d1"), F.xxhash64(F.lit(2), "text").alias("d2"), F.octet_length("text").alias("d3")))
     many = digests.groupBy("d1", "d2", "d3").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    copies = settle(digests.join(many, ["d1", "d2", "d3"]).where("doc_id > least").select("key").distinct())
+    copies = settle(digests.join(many, ["d1", "d2", "d3"]).where("doc_id > least").select("key")).distinct()
     own = without(docs, copies, "key")
     anchors = own.select("key", "text").mapInArrow(_anchors(buckets, window), "bucket int, hash binary, key binary, place binary")
-    shared = anchors.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared, "key long, places array<int>")
-    shared = settle(shared.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places")))
+    packed, listed = "slot int, key binary, place binary", "key long, places array<int>"
+    shared = anchors.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _shared(t, buckets), packed)
+    shared = settle(shared.groupBy("slot").applyInArrow(_gathered, listed))
     held = semi_by_filter(docs, shared, "key").join(shared, "key").select("key", "doc_id", "text", "places")
     found = held.mapInArrow(_windows(buckets, window), "bucket int, a binary, b binary, key binary, id binary, place binary")
-    found = found.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_repeats, "key long, places array<int>")
-    found = found.groupBy("key").agg(F.flatten(F.collect_list("places")).alias("places"))
+    found = found.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _repeats(t, buckets), packed)
+    found = found.groupBy("slot").applyInArrow(_gathered, listed)
     return settle(found.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("places", F.expr("cast(array() as array<int>)")).withColumn("whole", F.lit(True))))
 
 
