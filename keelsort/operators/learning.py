@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from keelsort.operators.planning import plan_sort
 from keelsort.plans.models import BenchmarkResult, RewritePlan, SortPlan
 from keelsort.plans.planners import normalized
+from keelsort.session import shared_dir
 from keelsort.sources import sampling, storage
 from keelsort.sources.writer import write_sorted
 
@@ -19,17 +20,10 @@ from keelsort.sources.writer import write_sorted
 COMPARED = ("none", "cardinality", "weighted", "entropy", "payload", "frequency", "portfolio", "codec_fast", "codec", "auto")
 
 
-def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/checkpoints/keelsort"
-    import uuid
-
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def written_bytes(df: DataFrame, plan: SortPlan, order: Sequence[str] | None = None, **settings) -> int:
     """Bytes of ``df`` in the plan's order under one writer's settings; the file goes again."""
     spark = df.sparkSession
-    folder = _scratch(spark)
+    folder = shared_dir(spark)
     try:
         return sum(storage.size_of(spark, p) for p in write_sorted(df, plan, f"{folder}/trial.parquet", order=order, **settings))
     finally:
@@ -91,7 +85,7 @@ def fit_dataset(
     from keelsort.functions.ordering import POSITION
 
     # the sample is written once: its rows then have positions of their own
-    folder = _scratch(spark)
+    folder = shared_dir(spark)
     try:
         sample.coalesce(1).sortWithinPartitions(*POSITION).drop(*POSITION).write.parquet(folder)
         table = spark.read.parquet(folder)

@@ -49,7 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A new folder below `spark.checkpoint.dir`; a local default is set only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/checkpoints/keelsort"
+        known = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = known.get() if known.isDefined() else "/tmp/checkpoints/keelsort"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
