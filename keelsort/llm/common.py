@@ -8,43 +8,32 @@ from __future__ import annotations
 
 import itertools
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from keelsort.session import settle
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 WORD_BREAK = "[ \\t-\\r]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local default is set only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/checkpoints/keelsort"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate; for file scans the bytes of the files."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
-    """A partition count that grows with the input so that each part stays within ``bytes_each``."""
-    size = min(input_bytes(df), 1 << 60)
+    """A partition count that grows with the input so that each part stays within ``bytes_each``.
+
+    Where Spark does not know the size (rows that come from no file), the session's number
+    of shuffle partitions.
+    """
+    size = input_bytes(df)
+    if size >= 1 << 55:
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return max(least, math.ceil(size / bytes_each))
 
 
@@ -56,17 +45,17 @@ def bounded_filter(keys: DataFrame, key: str) -> DataFrame:
     """A bit set over the hashes of ``key``: at most ``FILTER_WORDS`` rows (word, bits)."""
     h = F.xxhash64(F.col(key))
     return (
-        keys.select(F.pmod(h, F.lit(FILTER_WORDS)).cast("int").alias("_word"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int").alias("_bit"))
-        .groupBy("_word")
-        .agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+        keys.select(F.pmod(h, F.lit(FILTER_WORDS)).cast("int").alias("_keelsort_word"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int").alias("_keelsort_bit"))
+        .groupBy("_keelsort_word")
+        .agg(F.expr("bit_or(shiftleft(1L, _keelsort_bit))").alias("_keelsort_bits"))
     )
 
 
 def _maybe(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
     h = F.xxhash64(F.col(key))
     small = F.broadcast(bounded_filter(keys, key))
-    hit = (F.pmod(h, F.lit(FILTER_WORDS)).cast("int") == F.col("_word")) & (
-        F.call_function("shiftright", F.col("_bits"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    hit = (F.pmod(h, F.lit(FILTER_WORDS)).cast("int") == F.col("_keelsort_word")) & (
+        F.call_function("shiftright", F.col("_keelsort_bits"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
     )
     return df.join(small, hit, how)
 
@@ -166,15 +155,42 @@ def word_hashes(flat: pa.Array) -> np.ndarray:
     return hash_strings(coded.dictionary)[np.asarray(coded.indices)]
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def _union_find(batches):
+    """Components of a bounded list of links between longs, in one task."""
+    up: dict[int, int] = {}
+
+    def find(x):
+        root = x
+        while up.setdefault(root, root) != root:
+            root = up[root]
+        while up[x] != root:
+            up[x], x = root, up[x]
+        return root
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, one_task: int = 0) -> DataFrame:
     """Connected components of an undirected edge list: rows (node, component), component the smallest node.
 
+    A list of at most ``one_task`` edges (between longs) is settled in one task, and in
+    no rounds: the count is checked first, and any longer list takes the way below.
+
     Distributed union-find: every round hooks the label of each edge's end to the
     smaller label of the other end and then jumps pointers once, so a component of
     diameter d is settled in O(log d) rounds. Each round is written to the shared
     folder; only one count a round comes to the driver. Self loops and repeated
     edges are allowed; an empty list gives an empty result.
     """
+    if one_task and edges.limit(one_task + 1).count() <= one_task:
+        own = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null")
+        return settle(own.coalesce(1).mapInArrow(_union_find, "node long, component long"))
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     both = settle(both.union(both.select("b", "a")).distinct())
     # the label of a node is the smallest node seen so far

@@ -257,22 +257,24 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A text that loses words becomes the kept ones joined by one space; any other text
     stays as it is, null too.
     """
-    names, schema = docs.columns, docs.schema
-    keyed = docs.withColumn("key", F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(5)))
+    names, at = docs.columns, docs.columns.index(text_col)
+    # plain names within: any name is allowed in docs
+    inner = [f"c{i}" for i in range(len(names))]
+    plain = docs.toDF(*inner)
+    doc_id, text = F.col(f"c{names.index(id_col)}").cast("long"), F.coalesce(F.col(f"c{at}").cast("string"), F.lit(""))
+    keyed = plain.withColumn("key", F.xxhash64(doc_id, text, F.lit(5)))
     marks = repeated_windows(_keyed(docs, id_col, text_col).where("doc_id is not null"), window)
-    at = names.index(text_col)
 
     def run(batches):
         for batch in batches:
-            plain = batch.rename_columns([f"c{i}" for i in range(batch.num_columns)])
-            for part in slices(plain, f"c{at}", BATCH_BYTES):
+            for part in slices(batch, f"c{at}", BATCH_BYTES):
                 texts = part.column(at)
                 places, whole = part.column(len(names)), part.column(len(names) + 1)
                 joined, _, removed = _cut(texts_of(part, f"c{at}"), places, pc.fill_null(whole, False).to_numpy(zero_copy_only=False), window)
                 new = pc.if_else(pa.array(removed > 0), joined.cast(texts.type), texts)
                 columns = [new if i == at else part.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(columns, names=inner)
 
-    touched = semi_by_filter(keyed, marks, "key").join(marks, "key", "left").select(*names, "places", "whole")
-    rest = anti_by_filter(keyed, marks, "key").select(*names)
-    return rest.unionByName(touched.mapInArrow(run, schema))
+    touched = semi_by_filter(keyed, marks, "key").join(marks, "key", "left").select(*plain.columns, "places", "whole")
+    rest = anti_by_filter(keyed, marks, "key").select(*plain.columns)
+    return rest.unionByName(touched.mapInArrow(run, plain.schema)).toDF(*names)
