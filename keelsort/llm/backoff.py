@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from keelsort.llm.common import mix, parts_for, settle, texts_of, word_hashes, words_of
+from keelsort.llm.common import mix, parts_for, texts_of, word_hashes, words_of
 
 ORDER, BACKOFF, LEAST_COUNT = 2, 0.4, 2
 #: Input bytes of a chunk, and of a hash partition's share.

@@ -9,7 +9,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from keelsort.llm import backoff, bpe, chosen, common, cover, fuzzy_lines, lsm, pack, pages, rabit, toxic
 from keelsort.llm.queries import word_bpe
