@@ -17,11 +17,16 @@ from pyspark.sql import DataFrame, functions as F
 from keelsort.llm.common import components, grouped, mix, semi_by_filter, settle, slices, texts_of, word_hashes, words_of
 
 COORDINATES = 128
-#: Each node follows this many coordinates; a pair of similarity s survives a level with 1 - (1 - s p)**2, so about 0.95 of pairs at 0.8 survive two levels.
-BRANCHES, LEVELS, DEEPEST, TREES = 2, 2, 10, 5
+#: A node follows one coordinate, and every fourth one two: 1 / 0.8 on average, so that a pair at the threshold stays together on one path.
+#: A pair at 0.8 meets in a tree of two levels with probability 0.73, in one of TREES with 0.99997.
+BRANCHES, LEVELS, DEEPEST, TREES = 2, 2, 10, 8
+#: A large node is dense where so large a share of it is like its smallest text: branching would not take it apart.
+DENSE = 0.5
 #: Texts in a node that is compared exhaustively, and in a block of a confirming task.
 NODE_LIMIT, BLOCK = 256, 200
 BATCH_BYTES = 16_000_000
+#: Links up to which union-find runs in one task, 16 bytes each; longer lists are settled in distributed rounds.
+ONE_TASK_LINKS = 500_000
 _rng = np.random.default_rng(20260101)
 _XOR = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -98,19 +103,20 @@ def _set_rows(size: int):
     return run
 
 
-def children(path: np.ndarray, sig: np.ndarray, level: int) -> np.ndarray:
-    """Paths (rows x BRANCHES) of the children that each text goes to from ``path`` at ``level``."""
-    out = np.empty((len(path), BRANCHES), dtype=np.uint64)
-    rows = np.arange(len(path))
+def children(path: np.ndarray, sig: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Paths of the children that texts go to from ``path`` at ``level``, and each one's row."""
+    paths, rows = [], []
     width = COORDINATES // BRANCHES
+    own = max(1, width // DEEPEST)
     for j in range(BRANCHES):
-        with np.errstate(over="ignore"):
-            pick = mix(path + np.uint64(1 + j + BRANCHES * level) * _STEP)
+        pick = mix(path + np.uint64(1 + j + BRANCHES * level) * _STEP)
+        # all texts of a node branch alike: the choice hangs on the path alone
+        at = np.arange(len(path)) if j == 0 else np.flatnonzero((pick >> np.uint64(40)) & np.uint64(3) == 0)
         # the levels of a path draw from coordinates of their own, so do the branches
-        own = max(1, width // DEEPEST)
-        at = (j * width + (level % DEEPEST) * own + (pick % np.uint64(own)).astype(np.int64)) % COORDINATES
-        out[:, j] = mix(path ^ mix((at.astype(np.uint64) << np.uint64(16)) + sig[rows, at].astype(np.uint64) + np.uint64(1)))
-    return out
+        c = (j * width + (level % DEEPEST) * own + (pick[at] % np.uint64(own)).astype(np.int64)) % COORDINATES
+        paths.append(mix(path[at] ^ mix((c.astype(np.uint64) << np.uint64(16)) + sig[at, c].astype(np.uint64) + np.uint64(1))))
+        rows.append(at)
+    return np.concatenate(paths), np.concatenate(rows)
 
 
 def _signature_matrix(column: pa.Array) -> np.ndarray:
@@ -128,8 +134,8 @@ def _first_paths(trees: int):
                     path = np.full(len(rep), mix(np.array([tree + 1], np.uint64))[0])
                     own, who = path, np.arange(len(rep))
                     for level in range(LEVELS):
-                        own = children(own, sig[who], level).reshape(-1)
-                        who = np.repeat(who, BRANCHES)
+                        own, at_row = children(own, sig[who], level)
+                        who = who[at_row]
                     yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(rep[who])], names=["path", "rep"])
 
     return run
@@ -143,8 +149,8 @@ def _next_paths(level: int):
             sig = _signature_matrix(batch.column(2))
             path = np.asarray(batch.column(0)).view(np.uint64)
             rep = np.asarray(batch.column(1))
-            own = children(path, sig, level).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(np.repeat(rep, BRANCHES))], names=["path", "rep"])
+            own, at_row = children(path, sig, level)
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(rep[at_row])], names=["path", "rep"])
 
     return run
 
@@ -166,6 +172,17 @@ def _roots(n: int, pairs) -> list[int]:
     return [find(x) for x in range(n)]
 
 
+def _alike(least: float):
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            same = (_signature_matrix(batch.column(1)) == _signature_matrix(batch.column(2))).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((same >= least * COORDINATES).astype(np.int32))], names=["path", "near"])
+
+    return run
+
+
 def _compare(least: float):
     def alike(sig: np.ndarray, other: np.ndarray) -> np.ndarray:
         return (sig[:, None, :] == other[None, :, :]).sum(axis=2) >= least * COORDINATES
@@ -250,38 +267,50 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     rows = settle(own.mapInArrow(_set_rows(size), "doc_id long, n long, k1 long, k2 long, sig binary"))
     full = rows.where("n > 0 and doc_id is not null")
     reps = settle(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
+    # what is below is ruled out: four standard errors of the estimate under the threshold
+    s = percent / 100
+    least = s - 4 * (s * (1 - s) / COORDINATES) ** 0.5
     # nodes: members and two sums that tell their member sets apart
     level, open_ = LEVELS, reps.select("rep", "sig").mapInArrow(_first_paths(trees), "path long, rep long").distinct()
     small = stars = None
     while True:
         open_ = settle(open_)
-        nodes = open_.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s1"), F.expr("bit_xor(xxhash64(rep, 9))").alias("s2")).where("m > 1")
+        nodes = open_.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s1"), F.expr("bit_xor(xxhash64(rep, 9))").alias("s2"), F.min("rep").alias("low")).where("m > 1")
         nodes = settle(nodes)
         last = level >= DEEPEST
-        done = nodes if last else nodes.where(F.col("m") <= NODE_LIMIT)
+        done = nodes.where(F.col("m") <= NODE_LIMIT)
         chosen = done.groupBy("s1", "s2", "m").agg(F.min("path").alias("path")).select("path", "m")
         got = open_.join(chosen, "path")
-        if last:
-            # alike in all coordinates of the deepest path: tied to the node's smallest text without a look at signatures
-            crowd = got.where(F.col("m") > NODE_LIMIT)
-            stars = crowd.join(crowd.groupBy("path").agg(F.min("rep").alias("dst")), "path").select(F.col("rep").alias("src"), "dst").where("src <> dst")
-            got = got.where(F.col("m") <= NODE_LIMIT)
         got = settle(got.select("path", "rep"))
         small = got if small is None else small.unionByName(got)
-        large = nodes.where(F.col("m") > NODE_LIMIT).select("path")
-        if last or not large.limit(1).count():
+        large = settle(nodes.where(F.col("m") > NODE_LIMIT).select("path", "s1", "s2", "m", "low"))
+        if not large.limit(1).count():
+            break
+        # of large nodes with the same texts one is looked at
+        alone = large.groupBy("s1", "s2", "m").agg(F.min("path").alias("path"), F.first("low").alias("dst"))
+        crowd = settle(open_.join(alone.select("path", "dst"), "path"))
+        if last:
+            # alike in all coordinates of the deepest path
+            tied = crowd
+        else:
+            heads = alone.select("dst").distinct().join(reps.select(F.col("rep").alias("dst"), F.col("sig").alias("head")), "dst")
+            near = crowd.join(reps.select("rep", "sig"), "rep").join(heads, "dst").select("path", "sig", "head").mapInArrow(_alike(least), "path long, near int")
+            dense = settle(near.groupBy("path").agg(F.avg("near").alias("share")).where(F.col("share") >= DENSE).select("path"))
+            tied = crowd.join(dense, "path", "left_semi")
+            large = large.join(alone.join(dense, "path", "left_semi").select("s1", "s2", "m"), ["s1", "s2", "m"], "left_anti").select("path")
+        # a node that does not come apart is tied to its smallest text as it is: full sets decide later
+        tied = tied.select(F.col("rep").alias("src"), "dst").where("src <> dst")
+        stars = tied if stars is None else stars.unionByName(tied)
+        if last:
             break
         big = open_.join(large, "path").join(reps.select("rep", "sig"), "rep").select("path", "rep", "sig")
         open_ = big.mapInArrow(_next_paths(level), "path long, rep long").distinct()
         level += 1
     sigs = small.join(reps.select("rep", "sig"), "rep")
-    # what is below is ruled out: four standard errors of the estimate under the threshold
-    s = percent / 100
-    least = s - 4 * (s * (1 - s) / COORDINATES) ** 0.5
     coarse = sigs.select("path", "rep", "sig").repartition("path").sortWithinPartitions("path").mapInArrow(_compare(least), "src long, dst long")
     if stars is not None:
         coarse = coarse.unionByName(stars)
-    groups = components(settle(coarse.distinct()))
+    groups = components(settle(coarse.distinct()), one_task=ONE_TASK_LINKS)
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     placed = groups.join(sizes, "component").select(F.col("node").alias("rep"), "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int").alias("block"))
@@ -300,7 +329,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
         F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "rep", "shingles"
     )
     links = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "src long, dst long")
-    found = components(settle(links.distinct()))
+    found = components(settle(links), one_task=ONE_TASK_LINKS)
     lead = reps.join(found, reps.rep == found.node, "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = full.select("doc_id", "n", "k1", "k2").join(lead, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
