@@ -368,3 +368,15 @@ def test_near_lines_match_brute_force(spark):
     assert fuzzy_lines.near_lines(docs(spark, [])).count() == 0
     kept = {r["doc_id"]: r["text"] for r in fuzzy_lines.without_near_lines(docs(spark, texts)).collect()}
     assert kept[2] == "same line here\n\nother" and kept[0] == "" and kept[4] == ""
+
+
+def test_lines_of_one_template_meet_their_partners(spark):
+    """Lines at 0.75 to each other, each with a partner at 0.818: a star's centre links none of them."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    template, lines = letters(127), []
+    for _ in range(60):
+        own = letters(6)
+        lines += [template + own + letters(14), template + own + letters(14)]
+    got = {r["line_no"]: r["keep_line_no"] for r in fuzzy_lines.near_lines(docs(spark, ["\n".join(lines)])).collect()}
+    assert sum(got[2 * i + 1] == got[2 * i] for i in range(60)) >= 58
