@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, functions as F
 from keelsort.llm.common import components, grouped, mix, semi_by_filter, settle, slices, texts_of, word_hashes, words_of
 
 COORDINATES = 128
-#: A node follows one coordinate, and every fourth one two: 1 / 0.8 on average, so that a pair at the threshold stays together on one path.
-#: A pair at 0.8 meets in a tree of two levels with probability 0.73, in one of TREES with 0.99997.
+#: A node of the first LEVELS follows one coordinate, and every fourth one two: 1 / 0.8 on average. Deeper ones all follow two, so that a
+#: pair's chance does not fall with the depth: at 0.8 a tree keeps it with probability 0.73 at two levels, 0.70 at four and 0.695 at ten,
+#: one of TREES with 0.99997, 0.99993 and 0.99992, if trees are independent.
 BRANCHES, LEVELS, DEEPEST, TREES = 2, 2, 10, 8
 #: A large node is dense where so large a share of it is like its smallest text: branching would not take it apart.
 DENSE = 0.5
@@ -106,14 +107,11 @@ def _set_rows(size: int):
 def children(path: np.ndarray, sig: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Paths of the children that texts go to from ``path`` at ``level``, and each one's row."""
     paths, rows = [], []
-    width = COORDINATES // BRANCHES
-    own = max(1, width // DEEPEST)
     for j in range(BRANCHES):
+        # all texts of a node branch alike: the choice hangs on the path alone, which starts from the tree
         pick = mix(path + np.uint64(1 + j + BRANCHES * level) * _STEP)
-        # all texts of a node branch alike: the choice hangs on the path alone
-        at = np.arange(len(path)) if j == 0 else np.flatnonzero((pick >> np.uint64(40)) & np.uint64(3) == 0)
-        # the levels of a path draw from coordinates of their own, so do the branches
-        c = (j * width + (level % DEEPEST) * own + (pick[at] % np.uint64(own)).astype(np.int64)) % COORDINATES
+        at = np.arange(len(path)) if j == 0 or level >= LEVELS else np.flatnonzero((pick >> np.uint64(40)) & np.uint64(3) == 0)
+        c = (pick[at] % np.uint64(COORDINATES)).astype(np.int64)
         paths.append(mix(path[at] ^ mix((c.astype(np.uint64) << np.uint64(16)) + sig[at, c].astype(np.uint64) + np.uint64(1))))
         rows.append(at)
     return np.concatenate(paths), np.concatenate(rows)

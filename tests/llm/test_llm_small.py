@@ -391,3 +391,20 @@ def test_short_lines_share_a_band(spark):
     a, b = ([F.min(F.when(side, fuzzy_lines.permuted(F.col("h"), k))).alias(f"{name}{k}") for k in values] for name, side in (("a", F.col("e") < 9), ("b", F.col("e") > 0)))
     bands = [" and ".join(f"a{k} = b{k}" for k in range(x, x + fuzzy_lines.ROWS)) for x in values[:: fuzzy_lines.ROWS]]
     assert h.groupBy("id").agg(*a, *b).where(" or ".join(f"({x})" for x in bands)).count() >= 0.995 * 20_000
+
+
+@pytest.mark.parametrize("levels", [2, 6, 10])
+def test_trees_keep_pairs_at_any_level(levels):
+    """Of pairs at 0.8 all but one in a thousand share a path in one of the trees."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 1 << 16, (1500, chosen.COORDINATES), dtype=np.uint16)
+    y = np.where(rng.random(x.shape) < 0.8, x, rng.integers(0, 1 << 16, x.shape, dtype=np.uint16))
+    met = np.zeros(len(x), dtype=bool)
+    for tree in range(chosen.TREES):
+        path, who = np.full(len(x), common.mix(np.array([tree + 1], np.uint64))[0]), np.arange(len(x))
+        for level in range(levels):
+            a, at = chosen.children(path, x[who], level)
+            b, _ = chosen.children(path, y[who], level)
+            path, who = a[a == b], who[at[a == b]]
+        met[who] = True
+    assert met.mean() >= 0.999
