@@ -30,6 +30,14 @@ NOISE_WORDS = frozenset(
     "header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promoted promotion related replies responses "
     "share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: Words before a noise word that make the name a state of a wrapper, and parts of an article whose header belongs to it.
+STATES = frozenset("has have no not non without with is hide hides show shows enable disable".split())
+CONTENT = frozenset("article post entry story content main body page".split())
+HEADERS = frozenset("header banner masthead".split())
+#: Words after a noise word that name a wrapper's form and not a piece of noise.
+FORMS = frozenset("layout free less open visible enabled disabled wrapper page".split())
+#: Text outside noise is negligible where it has, net of links, fewer characters than this and a smaller share of the noise's text than that.
+NEGLIGIBLE, NEGLIGIBLE_SHARE = 30, 0.1
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main "
@@ -41,11 +49,25 @@ CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+#: One attribute, its value consumed: names are found at attribute-name positions only.
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_ASKED = frozenset("class id role hidden aria-hidden".split())
 _WORD = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 
 
+def noise_name(name: str) -> bool:
+    """Whether a class or id in lower case names noise: as a whole, or by its first or last word; a word within does not count."""
+    words = _WORD.findall(name)
+    if not words or len(words) == 1:
+        return bool(words) and words[0] in NOISE_WORDS
+    if words[0] in STATES:
+        return False
+    if words[-1] in NOISE_WORDS:
+        return not (words[-1] in HEADERS and words[0] in CONTENT - {"main", "page"})
+    return words[0] in NOISE_WORDS and words[-1] not in FORMS
+
+
 class Page:
     """Blocks of text of a page and the elements around them, in page order."""
 
@@ -55,16 +77,29 @@ class Page:
         self.tags: list[str] = ["#root"]
         self.ends: list[int] = [-1]
         self.blocks: list[tuple[int, str, int]] = []  # owner, text, characters of links
+        self.aside: list[tuple[int, int, str, int]] = []  # blocks of noise, each with the number of blocks before it
         self._parse(source)
+        clean = sum(max(0, len(t) - 2 * links) for _, t, links in self.blocks)
+        if clean < NEGLIGIBLE and clean < NEGLIGIBLE_SHARE * sum(max(0, len(t) - 2 * links) for _, _, t, links in self.aside):
+            # the page's text is in what looked like noise
+            ranked = [(k, 1, b) for k, b in enumerate(self.blocks)] + [(k, 0, (o, t, n)) for k, o, t, n in self.aside]
+            self.blocks = [b for _, _, b in sorted(ranked, key=lambda x: x[:2])]
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # tag, element (of the nearest block for inline tags), noise
         text: list[str] = []
-        links, in_link = 0, 0
+        noise_text: list[str] = []
+        links, noise_links, in_link = 0, 0, 0
         owner = 0
 
         def flush():
-            nonlocal links
+            nonlocal links, noise_links
+            if noise_text:
+                block = " ".join("".join(noise_text).split())
+                if block:
+                    self.aside.append((len(self.blocks), owner, block, noise_links))
+                noise_text.clear()
+            noise_links = 0
             if text:
                 block = " ".join("".join(text).split())
                 if block:
@@ -73,9 +108,15 @@ class Page:
             links = 0
 
         def add(raw: str):
-            nonlocal links
-            if raw and not stack[-1][2]:
-                raw = _html.unescape(raw)
+            nonlocal links, noise_links
+            if not raw:
+                return
+            raw = _html.unescape(raw)
+            if stack[-1][2]:
+                noise_text.append(raw)
+                if in_link:
+                    noise_links += len(raw)
+            else:
                 text.append(raw)
                 if in_link:
                     links += len(raw)
@@ -134,11 +175,16 @@ class Page:
                         while len(stack) > depth:
                             pop()
                         break
-            found = {a[0].lower(): (a[1] or a[2] or a[3] or "") for a in _ATTR.findall(attrs)} if attrs else {}
+            found = {}
+            if attrs:
+                for a in _ATTR.findall(attrs):
+                    key = a[0].lower()
+                    if key in _ASKED:
+                        found.setdefault(key, a[1] or a[2] or a[3])
             noise = stack[-1][2] or name in NOISE_TAGS
             if found and not noise and name not in ("body", "html"):
-                words = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
-                noise = bool(words & NOISE_WORDS) or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
+                names = f"{found.get('class', '')} {found.get('id', '')}".lower().split()
+                noise = any(map(noise_name, names)) or found.get("role", "").lower() in NOISE_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
             if name in BLOCKS:
                 flush()
                 classes = ".".join(sorted({_DIGITS.sub("#", c) for c in found.get("class", "").lower().split()}))

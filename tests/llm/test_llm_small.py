@@ -408,3 +408,19 @@ def test_trees_keep_pairs_at_any_level(levels):
             path, who = a[a == b], who[at[a == b]]
         met[who] = True
     assert met.mean() >= 0.999
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ['style="overflow:hidden"', 'title="hidden gems"', 'data-id="share"', 'class="layout has-sidebar"', 'class="post-body no-comments"', 'class="sidebar"', 'role="form"'],
+)
+def test_wrappers_of_articles_are_not_lost(wrapper):
+    """Names within other attributes, states of a wrapper, and a page whose only text is in what looks like noise."""
+    body = "A long sentence of the article, said again. " * 8
+    page = f'<html><body><nav><a href="/">Home</a></nav><div {wrapper}><div class="article-header"><h1>The title</h1></div><p>{body}</p></div></body></html>'
+    assert pages.extract(page, []) == f"The title\n\n{body.strip()}"
+
+
+def test_names_of_noise():
+    assert all(map(pages.noise_name, ["sidebar", "site-footer", "share-buttons", "nav_main", "post-comments", "sidebar2"]))
+    assert not any(map(pages.noise_name, ["has-sidebar", "no-comments", "article-header", "post-share-body", "content", "42"]))
