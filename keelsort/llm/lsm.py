@@ -1,11 +1,13 @@
 """Exact dedup by a log-structured merge index of digests.
 
-Each task ingests its rows into a memtable (digest -> first text, smallest or
-largest identifier, count). A full memtable is flushed as a run sorted by digest
-with a filter; a digest that hits the memtable is verified byte by byte. Runs of a
-task are compacted when they are many. Compaction over all tasks merges the sorted
-runs by digest and keeps one identifier; digests that occur in more than one run are
-hits whose texts are fetched, one for each run, and compared byte by byte.
+Each task ingests its rows into a memtable (digest -> texts); a digest that hits the
+memtable is verified byte by byte, and a full memtable is flushed as rows sorted by
+digest. What merges the flushed memtables of all tasks is a Spark aggregation by entry
+and then by digest, in place of runs with filters, compaction within a task and a
+sorted merge: `exact_groups` builds no `Run` and calls no `compact`. Digests of more
+than one entry are hits whose texts are fetched, one for each entry, and compared byte
+by byte. `Run`, `compact` and `lookup` serve an index that a caller loads; `lookup`
+goes by digests and does not compare bytes.
 """
 
 from __future__ import annotations
