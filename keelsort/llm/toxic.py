@@ -17,7 +17,7 @@ from keelsort.llm.common import _M1, slices, texts_of, words_of
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
-#: Bound of the sample of labelled rows that the model is fit on, and of its text; a documented parameter.
+#: Bound of the sample of labelled rows that the model is fit on; a documented parameter.
 MAX_TRAINING_ROWS = 6_000
 DIM = 4
 #: A bucket gets a vector that is in so many labelled texts and whose share of label 1 is so many standard errors off; weight decay of the fit.
@@ -74,6 +74,26 @@ def bags(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return again.dictionary, (key % width), np.searchsorted(key // width, np.arange(1, len(texts) + 1))
 
 
+def packed_bags(texts: pa.Array) -> list[str]:
+    """Each text's distinct words in order, with a line feed before each: words have none."""
+    words, of_doc, ends = bags(texts)
+    names, begin, out = words.to_pylist(), 0, []
+    for end in ends.tolist():
+        out.append("".join("\n" + w for w in sorted(names[k] for k in of_doc[begin:end])))
+        begin = end
+    return out
+
+
+def unpacked_bags(packed: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """What `bags` gives, from `packed_bags` of all texts."""
+    lists = pc.split_pattern(pa.array(packed, pa.large_string()), "\n")
+    flat, offsets = pc.list_flatten(lists), np.asarray(lists.offsets, dtype=np.int64)
+    keep = np.ones(len(flat), dtype=bool)
+    keep[offsets[:-1]] = False  # what is before the first line feed
+    coded = flat.filter(pa.array(keep)).dictionary_encode()
+    return coded.dictionary, np.asarray(coded.indices).astype(np.int64), np.cumsum(np.diff(offsets) - 1)
+
+
 def _runs(groups: np.ndarray, counts: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Positions of all members of each listed group, where group g has counts[g] members laid end to end."""
     n = counts[groups]
@@ -81,16 +101,16 @@ def _runs(groups: np.ndarray, counts: np.ndarray, firsts: np.ndarray) -> np.ndar
     return np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
 
 
-def train(texts: list[str], labels: np.ndarray, dim: int = DIM, rounds: int = 60, rate: float = 0.1, seed: int = 7, min_docs: int = MIN_DOCS, decay: float = DECAY) -> tuple[np.ndarray, float]:
+def train(texts: list[str], labels: np.ndarray, dim: int = DIM, rounds: int = 60, rate: float = 0.1, seed: int = 7, min_docs: int = MIN_DOCS, decay: float = DECAY, packed: bool = False) -> tuple[np.ndarray, float]:
     """Fit and fold the model to one weight for each bucket and a bias: the logit is the mean over words of the mean weight of their buckets.
 
-    With no texts, or labels of one kind only, the weights are zero and the bias gives the share of that label.
+    ``packed`` tells that the texts are `packed_bags` of texts. With no texts, or labels of one kind only, the weights are zero and the bias gives the share of that label.
     """
     share = (float(np.sum(labels)) + 0.5) / (len(labels) + 1.0)
     bias = float(np.log(share / (1 - share)))
     if not len(texts) or len(set(np.asarray(labels).tolist())) < 2:
         return np.zeros(BUCKETS, np.float32), bias
-    words, of_doc, doc_ends = bags(pa.array(texts, pa.large_string()))
+    words, of_doc, doc_ends = unpacked_bags(texts) if packed else bags(pa.array(texts, pa.large_string()))
     ids, per_word = subwords(words)
     word_of = np.repeat(np.arange(len(words)), per_word)
     per_doc = np.diff(np.concatenate([[0], doc_ends]))
@@ -173,9 +193,8 @@ def logits(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAINING_ROWS) -> tuple[np.ndarray, float]:
     """Fit on at most ``max_rows`` labelled rows whose crc32(id as text) mod 5 is not 0.
 
-    The rows are those of smallest hash, whatever the input's size; only they come to
-    the driver, ``max_rows`` texts of at most 64 KB each (training alone reads a part of
-    longer ones; scores always read whole texts). Rows with a null id or label take no
+    The rows are those of smallest hash, whatever the input's size; of them
+    only the distinct words of each whole text come to the driver, made in tasks. Rows with a null id or label take no
     part; an identifier with several labels counts as its largest.
     """
     chosen = (
@@ -193,9 +212,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = spark.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, label int")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # max_rows rows of two numbers: a broadcast of bounded size
-    got = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", F.substring(F.coalesce("text", F.lit("")), 1, 65536).alias("text")).limit(2 * max_rows).collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["text"]))[:max_rows]
-    return train([r["text"] for r in got], np.array([r["label"] for r in got], dtype=int))
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text", BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed_bags(texts_of(part, "text")), pa.string())], names=["doc_id", "label", "bag"])
+
+    got = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, bag string").limit(2 * max_rows).collect()
+    got = sorted(got, key=lambda r: (r["doc_id"], r["bag"]))[:max_rows]
+    return train([r["bag"] for r in got], np.array([r["label"] for r in got], dtype=int), packed=True)
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -424,3 +424,13 @@ def test_wrappers_of_articles_are_not_lost(wrapper):
 def test_names_of_noise():
     assert all(map(pages.noise_name, ["sidebar", "site-footer", "share-buttons", "nav_main", "post-comments", "sidebar2"]))
     assert not any(map(pages.noise_name, ["has-sidebar", "no-comments", "article-header", "post-share-body", "content", "42"]))
+
+
+def test_training_reads_whole_texts(spark):
+    """Words after the first 64 KB of a training text count."""
+    texts = ["filler " * 9_500 + ("zorgish" if i % 2 else "plain") for i in range(80)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    assert toxic.fit(docs(spark, texts), marks)[0].any()
+    odd = pa.array(["", "b a B", "... x", None and ""], pa.large_string()).fill_null("")
+    names, of_doc, ends = toxic.unpacked_bags(toxic.packed_bags(odd))
+    assert [names.to_pylist()[k] for k in of_doc] == ["a", "b", "", "x"] and ends.tolist() == [0, 2, 4, 4]
