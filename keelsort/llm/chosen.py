@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from keelsort.llm.common import components, grouped, mix, semi_by_filter, settle, slices, texts_of, word_hashes, words_of
+from keelsort.llm.common import components, grouped, mix, plain_names, semi_by_filter, settle, slices, texts_of, without, word_hashes, words_of
 
 COORDINATES = 128
 #: A node of the first LEVELS follows one coordinate, and every fourth one two: 1 / 0.8 on average. Deeper ones all follow two, so that a
@@ -25,9 +25,8 @@ BRANCHES, LEVELS, DEEPEST, TREES = 2, 2, 10, 8
 DENSE = 0.5
 #: Texts in a node that is compared exhaustively, and in a block of a confirming task.
 NODE_LIMIT, BLOCK = 256, 200
-BATCH_BYTES = 16_000_000
-#: Links up to which union-find runs in one task, 16 bytes each; longer lists are settled in distributed rounds.
-ONE_TASK_LINKS = 500_000
+#: Text bytes that a task takes apart at once.
+BATCH_BYTES = 3_000_000
 _rng = np.random.default_rng(20260101)
 _XOR = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
 _MUL = _rng.integers(0, 1 << 31, COORDINATES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -39,31 +38,43 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed shingles of each text, sorted, laid end to end, and the offsets.
 
     A-Z are lower-cased; a text of fewer words has its whole sequence as one shingle.
+    A shingle is a 64-bit hash of its words' 64-bit hashes.
     """
     flat, offsets = words_of(pc.ascii_lower(texts))
     n = np.diff(offsets)
     if not len(flat):
         return np.zeros(0, np.uint64), np.zeros(len(n) + 1, np.int64)
     h = word_hashes(flat)
-    doc = np.repeat(np.arange(len(n), dtype=np.int64), n)
-    left = offsets[1:][doc] - np.arange(len(h))
-    out = np.zeros(len(h), dtype=np.uint64)
-    run = np.zeros(len(h), dtype=np.uint64)
-    short = np.minimum(n, size)[doc]
-    for k in range(size):
-        ok = np.flatnonzero(left > k)
-        run[ok] = run[ok] * _STEP + h[ok + k]
-        full = short == k + 1
-        out[full] = run[full]
-    # of a short text only its first position, of others all with a full shingle
-    ok = np.where(n[doc] >= size, left >= size, left == n[doc])
-    doc, out = doc[ok], mix(out[ok] + short[ok].astype(np.uint64))
-    order = np.lexsort((out, doc))
-    doc, out = doc[order], out[order]
+    del flat
+    run = h[: max(0, len(h) - size + 1)].copy()
+    for k in range(1, size):
+        run *= _STEP
+        run += h[k : len(h) - size + 1 + k]
+    full = n >= size
+    count = np.where(full, n - size + 1, (n > 0).astype(np.int64))
+    starts = np.concatenate([[0], np.cumsum(count)])
+    out = np.empty(starts[-1], np.uint64)
+    # places whose shingle lies within one text, in order
+    ends = np.zeros(len(h) + 1, dtype=np.int8)
+    own = np.flatnonzero(full)
+    np.add.at(ends, offsets[own], 1)
+    np.add.at(ends, offsets[own + 1] - size + 1, -1)
+    within = np.repeat(full, count)
+    out[within] = run[np.flatnonzero(np.cumsum(ends[: len(run)], dtype=np.int8))] + np.uint64(size)
+    del run, ends, within
+    for d in np.flatnonzero(~full & (n > 0)).tolist():
+        value = h[offsets[d]]
+        for k in range(offsets[d] + 1, offsets[d + 1]):
+            value = value * _STEP + h[k]
+        out[starts[d]] = value + np.uint64(n[d])
+    out = mix(out)
+    for s, e in zip(starts.tolist(), starts[1:].tolist()):
+        out[s:e].sort()
     new = np.ones(len(out), dtype=bool)
-    new[1:] = (out[1:] != out[:-1]) | (doc[1:] != doc[:-1])
-    doc, out = doc[new], out[new]
-    return out, np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=len(n)))])
+    new[1:] = out[1:] != out[:-1]
+    new[starts[:-1][count > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(new)])
+    return out[new], kept[starts]
 
 
 def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -87,19 +98,28 @@ def signatures(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie end to end in ``values``, one up to each of ``ends`` (counted in values)."""
+    at = np.concatenate([[0], ends * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def _set_rows(size: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
                 sets, offsets = shingles(texts_of(part, "text"), size)
                 sig = signatures(sets, offsets)
-                n = np.diff(offsets)
-                a, b = mix(sets), mix(sets ^ _SALT)
-                ta = np.concatenate([np.zeros(1, np.uint64), np.cumsum(a, dtype=np.uint64)])
-                tb = np.concatenate([np.zeros(1, np.uint64), np.cumsum(b, dtype=np.uint64)])
-                k1, k2 = ta[offsets[1:]] - ta[offsets[:-1]], tb[offsets[1:]] - tb[offsets[:-1]]
-                raw = [s.tobytes() for s in sig]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(raw, pa.binary())], names=["doc_id", "n", "k1", "k2", "sig"])
+                sums = []
+                for salt in (np.uint64(0), _SALT):
+                    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ salt), dtype=np.uint64)])
+                    sums.append((total[offsets[1:]] - total[offsets[:-1]]).view(np.int64))
+                raw = _binary(sig.reshape(-1), np.arange(1, len(sig) + 1) * COORDINATES)
+                made = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(offsets)), pa.array(sums[0]), pa.array(sums[1]), raw], names=["doc_id", "mark", "n", "k1", "k2", "sig"])
+                del sets, offsets, sig, sums, raw
+                yield made
+                del made
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -207,22 +227,50 @@ def _compare(least: float):
     return run
 
 
-def _confirm(percent: int):
-    def common(a: np.ndarray, b: np.ndarray) -> int:
-        if len(a) > len(b):
-            a, b = b, a
-        at = np.searchsorted(b, a)
-        at[at == len(b)] = 0
-        return int(np.count_nonzero(b[at] == a))
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int(np.count_nonzero(b[at] == a))
+
+
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = _common(a, b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _confirm_star(percent: int):
+    def run(batches):
+        for batch in batches:
+            ids, centres = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            src, dst = [], []
+            for rep, centre, own, head in zip(ids, centres, batch.column(2), batch.column(3)):
+                if _similar(np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(head.as_buffer(), np.uint64), percent):
+                    src.append(rep)
+                    dst.append(centre)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], names=["src", "dst"])
+
+    return run
 
+
+def _confirm(percent: int):
     def run(batches):
         for _, group in grouped(batches, "task"):
             ids = np.asarray(group.column("rep"))
             ids, first = np.unique(ids, return_index=True)
-            raw = group.column("shingles").take(pa.array(first)).to_pylist()
-            sets = [np.frombuffer(x, dtype=np.uint64) for x in raw]
+            own = group.column("shingles").take(pa.array(first)).combine_chunks()
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in own]
+            tied = np.asarray(group.column("tied"))[first]
             order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
+            # texts that are linked with their component's centre are one from the start
             up = list(range(len(ids)))
+            centre = np.flatnonzero(tied).tolist()
+            for i in centre[1:]:
+                up[i] = centre[0]
 
             def find(x):
                 while up[x] != x:
@@ -236,10 +284,7 @@ def _confirm(percent: int):
                     if 100 * len(sets[i]) < percent * len(sets[j]):
                         break  # all others are larger still
                     a, b = find(i), find(j)
-                    if a == b:
-                        continue
-                    both = common(sets[i], sets[j])
-                    if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    if a != b and _similar(sets[i], sets[j], percent):
                         up[max(a, b)] = min(a, b)
                         links.append((ids[i], ids[j]))
             if links:
@@ -248,40 +293,21 @@ def _confirm(percent: int):
     return run
 
 
-def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``.
-
-    Texts whose shingle sets have 100 * intersection >= ``percent`` * union are linked;
-    a component's identifier is its smallest doc_id, and that row is kept. A text
-    without words, or null, has no shingle and is linked with nothing. Rows with a null
-    doc_id stand alone and are kept. Rows that repeat a doc_id count as one node. Other
-    columns are not read.
-
-    Texts of equal sets are one node of the join. Groups that signatures cannot tell
-    apart and that are larger than a block are confirmed block by block, every pair of
-    blocks in a task of its own.
-    """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = settle(own.mapInArrow(_set_rows(size), "doc_id long, n long, k1 long, k2 long, sig binary"))
-    full = rows.where("n > 0 and doc_id is not null")
-    reps = settle(full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
-    # what is below is ruled out: four standard errors of the estimate under the threshold
-    s = percent / 100
-    least = s - 4 * (s * (1 - s) / COORDINATES) ** 0.5
-    # nodes: members and two sums that tell their member sets apart
+def _coarse_links(reps: DataFrame, least: float, trees: int) -> DataFrame:
+    """Links (src, dst) that join all texts of ``reps(rep, sig)`` which signatures cannot tell apart, by trees of chosen paths."""
     level, open_ = LEVELS, reps.select("rep", "sig").mapInArrow(_first_paths(trees), "path long, rep long").distinct()
     small = stars = None
     while True:
         open_ = settle(open_)
+        # nodes: members and two sums that tell their member sets apart
         nodes = open_.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s1"), F.expr("bit_xor(xxhash64(rep, 9))").alias("s2"), F.min("rep").alias("low")).where("m > 1")
         nodes = settle(nodes)
         last = level >= DEEPEST
         done = nodes.where(F.col("m") <= NODE_LIMIT)
         chosen = done.groupBy("s1", "s2", "m").agg(F.min("path").alias("path")).select("path", "m")
-        got = open_.join(chosen, "path")
-        got = settle(got.select("path", "rep"))
+        got = open_.join(chosen, "path").select("path", "rep")
         small = got if small is None else small.unionByName(got)
-        large = settle(nodes.where(F.col("m") > NODE_LIMIT).select("path", "s1", "s2", "m", "low"))
+        large = nodes.where(F.col("m") > NODE_LIMIT).select("path", "s1", "s2", "m", "low")
         if not large.limit(1).count():
             break
         # of large nodes with the same texts one is looked at
@@ -308,36 +334,96 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     coarse = sigs.select("path", "rep", "sig").repartition("path").sortWithinPartitions("path").mapInArrow(_compare(least), "src long, dst long")
     if stars is not None:
         coarse = coarse.unionByName(stars)
-    groups = components(settle(coarse.distinct()), one_task=ONE_TASK_LINKS)
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    placed = groups.join(sizes, "component").select(F.col("node").alias("rep"), "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int").alias("block"))
-    placed = settle(placed)
-    wanted = semi_by_filter(own, placed.select(F.col("rep").alias("doc_id")), "doc_id").join(placed.withColumnRenamed("rep", "doc_id"), "doc_id")
+    return settle(coarse.distinct())
+
+
+def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
+    """Links (src, dst) of texts alike on full sets that join all such texts of each coarse component of ``sets(rep, component, m, shingles)``.
+
+    A component of up to BLOCK texts is one group of a task. Of a larger one, each text
+    is first held against the component's centre, its smallest text; what that links is
+    one from then on. Only the others still meet all texts, block by block: with all
+    linked to the centre, nothing is copied.
+    """
+    few = sets.where(F.col("m") <= BLOCK).select(F.xxhash64("component").alias("task"), "rep", F.lit(False).alias("tied"), "shingles")
+    many = sets.where(F.col("m") > BLOCK).select("rep", "component", "shingles")
+    if not many.limit(1).count():
+        return settle(few.repartition("task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "src long, dst long"))
+    heads = many.where("rep = component").select("component", F.col("shingles").alias("head")).dropDuplicates(["component"])
+    star = many.where("rep <> component").join(heads, "component").select("rep", "component", "shingles", "head")
+    links = settle(star.mapInArrow(_confirm_star(percent), "src long, dst long"))
+    tied = links.select(F.col("src").alias("rep")).distinct().withColumn("tied", F.lit(True))
+    known = many.join(tied, "rep", "left").withColumn("tied", F.coalesce("tied", F.lit(False)) | (F.col("rep") == F.col("component")))
+    counts = settle(known.groupBy("component").agg(F.count_if(F.col("tied")).alias("inner"), F.count_if(~F.col("tied")).alias("outer")).where("outer > 0"))
+    parts = [F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("inner", "outer")]
+    dealt = known.join(counts, "component").select("rep", "component", "tied", "shingles", parts[0].alias("inners"), parts[1].alias("outers"))
+    block = F.pmod(F.xxhash64("rep", F.lit(3)), F.when(F.col("tied"), F.col("inners")).otherwise(F.col("outers"))).cast("int")
+    dealt = dealt.withColumn("block", block)
+    # (0, outer block, inner block) and (1, outer block, outer block): a text that is not tied meets all, a tied one only those
+    crossed = dealt.where("tied").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outers") - 1))).select("component", F.lit(0).alias("kind"), F.col("other").alias("i"), F.col("block").alias("j"), "rep", "tied", "shingles")
+    outer = dealt.where("not tied")
+    inward = outer.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("inners") - 1))).select("component", F.lit(0).alias("kind"), F.col("block").alias("i"), F.col("other").alias("j"), "rep", "tied", "shingles")
+    among = outer.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outers") - 1))).select("component", F.lit(1).alias("kind"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "tied", "shingles")
+    blocks = crossed.unionByName(inward).unionByName(among).select(F.xxhash64("component", "kind", "i", "j").alias("task"), "rep", "tied", "shingles")
+    tasks = few.unionByName(blocks)
+    return links.unionByName(settle(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "src long, dst long")))
+
+
+def _near_rows(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, trees: int) -> DataFrame:
+    """Rows (doc_id, mark, n_shingles, component_id), one for each row of ``docs``; ``mark`` is a hash of the text."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    rows = settle(own.mapInArrow(_set_rows(size), "doc_id long, mark long, n long, k1 long, k2 long, sig binary"))
+    full = rows.where("n > 0 and doc_id is not null")
+    # a node for each set; its text is read from its first row
+    reps = full.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "mark")).alias("place"), F.first("sig").alias("sig"))
+    reps = settle(reps.withColumn("rep", F.monotonically_increasing_id()))
+    # what is below is ruled out: four standard errors of the estimate under the threshold
+    s = percent / 100
+    least = s - 4 * (s * (1 - s) / COORDINATES) ** 0.5
+    groups = components(_coarse_links(reps, least, trees))
+    members = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
+    placed = settle(groups.join(members, "component").select(F.col("node").alias("rep"), "component", "m").join(reps.select("rep", "place"), "rep").select("rep", "component", "m", "place.*"))
+    wanted = semi_by_filter(own, placed, "doc_id").join(placed, ["doc_id", "mark"])
 
     def sets_of(batches):
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
                 sets, offsets = shingles(texts_of(part, "text"), size)
-                raw = [sets[s:e].tobytes() for s, e in zip(offsets.tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array(raw, pa.binary())], names=["rep", "component", "blocks", "block", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), _binary(sets, offsets[1:])], names=["rep", "component", "m", "shingles"])
 
-    sets = wanted.select("doc_id", "component", "blocks", "block", "text").mapInArrow(sets_of, "rep long, component long, blocks int, block int, shingles binary")
-    dealt = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "rep", "shingles"
-    )
-    links = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "src long, dst long")
-    found = components(settle(links), one_task=ONE_TASK_LINKS)
-    lead = reps.join(found, reps.rep == found.node, "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = full.select("doc_id", "n", "k1", "k2").join(lead, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    sets = settle(wanted.select("rep", "component", "m", "text").mapInArrow(sets_of, "rep long, component long, m long, shingles binary"))
+    found = components(_confirmed(sets, percent))
+    named = reps.select("k1", "k2", "n", "rep", F.col("place.doc_id").alias("low")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    least_id = named.where("component is not null").groupBy("component").agg(F.min("low").alias("least"))
+    lead = settle(named.join(least_id, "component", "left").select("k1", "k2", "n", F.coalesce("least", "low").alias("component_id")))
+    out = full.select("doc_id", "mark", "n", "k1", "k2").join(lead, ["k1", "k2", "n"]).select("doc_id", "mark", F.col("n").alias("n_shingles"), "component_id")
+    return out.unionByName(rows.where("n = 0 or doc_id is null").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``.
+
+    Texts whose shingle sets have 100 * intersection >= ``percent`` * union are linked;
+    a component's identifier is its smallest doc_id, and that row is kept. A text
+    without words, or null, has no shingle and is linked with nothing. Rows with a null
+    doc_id stand alone and are kept. Rows that repeat a doc_id are nodes of their own,
+    by their texts. An empty table gives an empty result. Other columns are not read.
+
+    Texts of equal sets are one node of the join; sets are compared by 64-bit hashes of
+    their shingles. No pair of a group is written before it is confirmed.
+    """
+    return _near_rows(docs, size, percent, id_col, text_col, trees).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", trees: int = TREES) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, without those that `near_groups` does not keep."""
-    from keelsort.llm.common import without
+    """The rows of ``docs``, all columns as they are, without those that `near_groups` does not keep.
 
-    groups = settle(near_groups(docs, size, percent, id_col, text_col, trees))
-    gone = groups.where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return without(docs, gone, id_col)
+    Rows go by identifier and text: of rows that repeat an identifier only those whose
+    own text is a near copy of one with a smaller identifier. Rows with a null
+    identifier or without words stay; any column names are allowed.
+    """
+    gone = settle(_near_rows(docs, size, percent, id_col, text_col, trees).where("doc_id <> component_id").select("doc_id", "mark").distinct())
+    plain, back = plain_names(docs)
+    at_id, at_text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    marked = plain.withColumn("doc_id", at_id.cast("long")).withColumn("mark", F.xxhash64(at_text.cast("string")))
+    return back(without(marked, gone, ["doc_id", "mark"]))

@@ -37,45 +37,70 @@ def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
     return max(least, math.ceil(size / bytes_each))
 
 
-#: Words of the filter below: 2**16 longs of 64 bits, half a megabyte, whatever the input.
-FILTER_WORDS = 1 << 16
+#: Bounds of the filter below: 8 kB to 4 MB of bits, half a million rows to all tasks at most, whatever the input.
+LEAST_WORDS, MOST_WORDS = 1 << 10, 1 << 19
 
 
-def bounded_filter(keys: DataFrame, key: str) -> DataFrame:
-    """A bit set over the hashes of ``key``: at most ``FILTER_WORDS`` rows (word, bits)."""
-    h = F.xxhash64(F.col(key))
+def _hash_of(keys) -> F.Column:
+    return F.xxhash64(*[F.col(k) for k in keys])
+
+
+def _listed(key) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def bounded_filter(keys: DataFrame, key, words: int) -> DataFrame:
+    """A bit set over the hashes of ``key`` (a column or several): at most ``words`` rows (word, bits)."""
+    h = _hash_of(_listed(key))
     return (
-        keys.select(F.pmod(h, F.lit(FILTER_WORDS)).cast("int").alias("_keelsort_word"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int").alias("_keelsort_bit"))
+        keys.select(F.pmod(h, F.lit(words)).cast("int").alias("_keelsort_word"), F.pmod(F.shiftright(h, 24), F.lit(64)).cast("int").alias("_keelsort_bit"))
         .groupBy("_keelsort_word")
         .agg(F.expr("bit_or(shiftleft(1L, _keelsort_bit))").alias("_keelsort_bits"))
     )
 
 
-def _maybe(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
-    h = F.xxhash64(F.col(key))
-    small = F.broadcast(bounded_filter(keys, key))
-    hit = (F.pmod(h, F.lit(FILTER_WORDS)).cast("int") == F.col("_keelsort_word")) & (
-        F.call_function("shiftright", F.col("_keelsort_bits"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    )
-    return df.join(small, hit, how)
+def _marked(df: DataFrame, keys: DataFrame, key) -> DataFrame:
+    """``df`` with whether its ``key`` may be in ``keys``.
+
+    The filter has 16 bits a key (counted), up to MOST_WORDS; with far more keys it lets
+    more rows pass, which cost a shuffle and no result.
+    """
+    words = LEAST_WORDS
+    n = keys.count()
+    while words < MOST_WORDS and words * 4 < n:
+        words *= 2
+    small = F.broadcast(bounded_filter(keys, key, words))
+    h = _hash_of(_listed(key))
+    held = df.withColumn("_keelsort_hash", h).withColumn("_keelsort_word", F.pmod("_keelsort_hash", F.lit(words)).cast("int")).join(small, "_keelsort_word", "left")
+    bit = F.call_function("shiftright", F.col("_keelsort_bits"), F.pmod(F.shiftright("_keelsort_hash", 24), F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return held.withColumn("_keelsort_maybe", F.coalesce(bit, F.lit(False)))
 
 
-def semi_by_filter(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be in ``keys``; a superset, pruned before any shuffle.
+def semi_by_filter(df: DataFrame, keys: DataFrame, key) -> DataFrame:
+    """Rows of ``df`` whose ``key`` (a column or several) may be in ``keys``; a superset, pruned before any shuffle.
 
-    The broadcast side has ``FILTER_WORDS`` rows at most. Follow with an exact join.
+    Follow with an exact join.
     """
-    return _maybe(df, keys, key, "left_semi")
+    return _marked(df, keys, key).where("_keelsort_maybe").select(df.columns)
+
 
+def split_by_filter(df: DataFrame, keys: DataFrame, key) -> tuple[DataFrame, DataFrame]:
+    """What `semi_by_filter` gives, and the other rows of ``df``: surely not in ``keys``."""
+    marked = _marked(df, keys, key)
+    return marked.where("_keelsort_maybe").select(df.columns), marked.where("not _keelsort_maybe").select(df.columns)
 
-def anti_by_filter(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The other rows of ``df``: surely not in ``keys``."""
-    return _maybe(df, keys, key, "left_anti")
 
+def without(df: DataFrame, keys: DataFrame, key) -> DataFrame:
+    """Exact anti join on ``key`` (a column or several) that shuffles only the rows which may be in ``keys``; null keys are in no table."""
+    key = _listed(key)
+    maybe, rest = split_by_filter(df, keys, key)
+    return rest.unionByName(maybe.join(keys.select(key).distinct(), key, "left_anti").select(df.columns))
 
-def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """Exact anti join that shuffles only the rows which may be in ``keys``."""
-    return anti_by_filter(df, keys, key).unionByName(semi_by_filter(df, keys, key).join(keys.select(key).distinct(), key, "left_anti").select(df.columns))
+
+def plain_names(df: DataFrame):
+    """``df`` with its columns named c0, c1, ..., and a function that gives a frame with these columns the names of ``df`` again."""
+    own = [f"c{i}" for i in range(len(df.columns))]
+    return df.toDF(*own), lambda out: out.select(own).toDF(*df.columns)
 
 
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int):
@@ -155,42 +180,15 @@ def word_hashes(flat: pa.Array) -> np.ndarray:
     return hash_strings(coded.dictionary)[np.asarray(coded.indices)]
 
 
-def _union_find(batches):
-    """Components of a bounded list of links between longs, in one task."""
-    up: dict[int, int] = {}
-
-    def find(x):
-        root = x
-        while up.setdefault(root, root) != root:
-            root = up[root]
-        while up[x] != root:
-            up[x], x = root, up[x]
-        return root
-
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = find(a), find(b)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-    nodes = list(up)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "component"])
-
-
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, one_task: int = 0) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge list: rows (node, component), component the smallest node.
 
-    A list of at most ``one_task`` edges (between longs) is settled in one task, and in
-    no rounds: the count is checked first, and any longer list takes the way below.
-
     Distributed union-find: every round hooks the label of each edge's end to the
     smaller label of the other end and then jumps pointers once, so a component of
     diameter d is settled in O(log d) rounds. Each round is written to the shared
     folder; only one count a round comes to the driver. Self loops and repeated
     edges are allowed; an empty list gives an empty result.
     """
-    if one_task and edges.limit(one_task + 1).count() <= one_task:
-        own = edges.select(F.col(src).cast("long").alias("a"), F.col(dst).cast("long").alias("b")).where("a is not null and b is not null")
-        return settle(own.coalesce(1).mapInArrow(_union_find, "node long, component long"))
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
     both = settle(both.union(both.select("b", "a")).distinct())
     # the label of a node is the smallest node seen so far

@@ -4,8 +4,9 @@ Positions of a difference cover modulo a period are the only ones that are hashe
 for any two positions i and j some shift below the period puts both on the cover. A
 match of a window's length therefore shares an anchor that lies on the cover in both
 texts. Anchors of more than one text are then extended: the windows around them are
-compared in full, and words of a window that a text of smaller identifier has are
-removed.
+compared by a 96-bit hash of all their words, and words of a window that a text of
+smaller identifier has are removed. Copies of a whole text are told by 128 bits of
+hash and the length; a row is known by a 64-bit hash of its identifier and text.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from keelsort.llm.common import anti_by_filter, mix, parts_for, semi_by_filter, settle, slices, texts_of, without, word_hashes, words_of
+from keelsort.llm.common import mix, parts_for, semi_by_filter, settle, slices, split_by_filter, texts_of, without, word_hashes, words_of
 
 #: A perfect difference cover and its period.
 COVER, PERIOD = (0, 1, 3), 7
 WINDOW = 13
-BATCH_BYTES = 16_000_000
+#: Text bytes that a task takes apart at once.
+BATCH_BYTES = 6_000_000
 #: Input bytes for each bucket of hashes; the number of buckets grows with the input.
 BUCKET_BYTES = 8_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -173,17 +175,18 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         raise ValueError(f"a window has more than {PERIOD} words")
     buckets = parts_for(docs, BUCKET_BYTES)
     digests = settle(docs.select("doc_id", "key", F.xxhash64("text", F.lit(1)).alias("d1"), F.xxhash64(F.lit(2), "text").alias("d2"), F.octet_length("text").alias("d3")))
-    many = digests.groupBy("d1", "d2", "d3").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    # written before the join, so that the rows of one text can be split over tasks
+    many = settle(digests.groupBy("d1", "d2", "d3").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1"))
     copies = settle(digests.join(many, ["d1", "d2", "d3"]).where("doc_id > least").select("key")).distinct()
     own = without(docs, copies, "key")
     anchors = own.select("key", "text").mapInArrow(_anchors(buckets, window), "bucket int, hash binary, key binary, place binary")
     packed, listed = "slot int, key binary, place binary", "key long, places array<int>"
     shared = anchors.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _shared(t, buckets), packed)
-    shared = settle(shared.groupBy("slot").applyInArrow(_gathered, listed))
+    shared = settle(shared.repartition(buckets, "slot").groupBy("slot").applyInArrow(_gathered, listed))
     held = semi_by_filter(docs, shared, "key").join(shared, "key").select("key", "doc_id", "text", "places")
     found = held.mapInArrow(_windows(buckets, window), "bucket int, a binary, b binary, key binary, id binary, place binary")
     found = found.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _repeats(t, buckets), packed)
-    found = found.groupBy("slot").applyInArrow(_gathered, listed)
+    found = found.repartition(buckets, "slot").groupBy("slot").applyInArrow(_gathered, listed)
     return settle(found.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("places", F.expr("cast(array() as array<int>)")).withColumn("whole", F.lit(True))))
 
 
@@ -212,7 +215,8 @@ def _each(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """Rows that hold a repeated window, with places and whole, and all others."""
     marks = repeated_windows(docs.select("doc_id", "text", "key"), window)
     # a row that repeats another has its key: marks are distinct by key
-    return semi_by_filter(docs, marks, "key").join(marks, "key", "left"), anti_by_filter(docs, marks, "key")
+    maybe, rest = split_by_filter(docs, marks, "key")
+    return maybe.join(marks, "key", "left"), rest
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -275,6 +279,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 columns = [new if i == at else part.column(i) for i in range(len(names))]
                 yield pa.RecordBatch.from_arrays(columns, names=inner)
 
-    touched = semi_by_filter(keyed, marks, "key").join(marks, "key", "left").select(*plain.columns, "places", "whole")
-    rest = anti_by_filter(keyed, marks, "key").select(*plain.columns)
-    return rest.unionByName(touched.mapInArrow(run, plain.schema)).toDF(*names)
+    maybe, rest = split_by_filter(keyed, marks, "key")
+    touched = maybe.join(marks, "key", "left").select(*plain.columns, "places", "whole")
+    return rest.select(*plain.columns).unionByName(touched.mapInArrow(run, plain.schema)).toDF(*names)

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from keelsort.llm.common import semi_by_filter, settle
+from keelsort.llm.common import plain_names, semi_by_filter, settle, without
 
 #: Bytes of distinct texts that a memtable holds before it is flushed.
 MEMTABLE_BYTES = 24_000_000
@@ -195,6 +195,19 @@ def exact_groups(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", tex
     )
 
 
+def without_copies(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without those that `exact_groups` does not keep.
+
+    Rows go by identifier and text, so a row stays whose identifier repeats with another
+    text. Rows with a null identifier stay; any column names are allowed.
+    """
+    gone = settle(exact_groups(docs, keep, id_col, text_col).where("doc_id <> keep_id").select("doc_id", "text_sha256").distinct())
+    plain, back = plain_names(docs)
+    at_id, at_text = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, text_col))
+    marked = plain.withColumn("doc_id", at_id.cast("long")).withColumn("text_sha256", F.sha2(F.coalesce(at_text.cast("string"), F.lit("")).cast("binary"), 256))
+    return back(without(marked, gone, ["doc_id", "text_sha256"]))
+
+
 def lookup(docs: DataFrame, runs: list[Run], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, owner) of texts whose digest is in a loaded index of runs; newest run first.
 

@@ -127,4 +127,17 @@ ORACLES = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ats), 0) AS BIGINT) AS n_removed,
                sha256(coalesce(array_to_string(list_filter(w, lambda x, p: ats IS NULL OR NOT list_contains(ats, p)), ' '), '')) AS kept_sha256
         FROM d LEFT JOIN r USING (doc_id)""",
+    "op6_minhash_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)
+        ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        e AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM s AS a JOIN s AS b ON a.k = b.k AND a.doc_id <> b.doc_id JOIN n AS x ON x.doc_id = a.doc_id JOIN n AS y ON y.doc_id = b.doc_id
+            GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+        ), r AS (
+            SELECT doc_id, doc_id AS node FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.node
+        ), c AS (SELECT doc_id, min(node) AS component_id FROM r GROUP BY doc_id)
+        SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
 }

@@ -22,7 +22,7 @@ MAX_TRAINING_ROWS = 6_000
 DIM = 4
 #: A bucket gets a vector that is in so many labelled texts and whose share of label 1 is so many standard errors off; weight decay of the fit.
 MIN_DOCS, LEAST_Z, DECAY = 4, 5.5, 1e-6
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 4_000_000
 _P = np.uint32(0x01000193)
 
 

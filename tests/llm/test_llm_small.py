@@ -42,6 +42,15 @@ def test_exact_groups(spark, keep):
     assert lsm.exact_groups(docs(spark, [])).count() == 0
 
 
+def test_copies_go_row_by_row(spark):
+    """Rows that repeat an identifier go by their own texts; other columns keep their names, also those used within."""
+    rows = [(1, "x", 1, "a"), (2, "x", 2, "b"), (1, "y", 3, "c"), (None, "x", 4, "d"), (3, None, 5, "e"), (4, "", 6, "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, c0 long, text_sha256 string")
+    got = lsm.without_copies(df, "max")
+    assert got.columns == df.columns
+    assert sorted(r["c0"] for r in got.collect()) == [2, 3, 4, 6]
+
+
 def test_log_structured_runs():
     digest = lambda i: hashlib.sha256(str(i).encode()).digest()
     d = np.array([digest(i) for i in range(1000)], dtype="S32")
@@ -161,13 +170,59 @@ def test_large_near_group_is_tied_without_pairs(spark, monkeypatch):
     assert chosen.without_near_copies(docs(spark, texts[:3] + [None]), 5).count() == 2
 
 
+def components_by_hand(texts, size, percent=80):
+    sets = sets_of(texts, size)
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_group_beyond_a_block_is_confirmed_wholly(spark, monkeypatch):
+    """Families that signatures do not tell apart: some texts are linked with the centre, the others only among themselves."""
+    monkeypatch.setattr(chosen, "BLOCK", 8)
+    rng, base, texts = random.Random(11), words(150, 43), []
+    for family in range(4):
+        own = list(base)
+        for at in rng.sample(range(150), 7 if family else 0):
+            own[at] = f"f{family}"
+        for i in range(9):
+            member = list(own)
+            for at in rng.sample(range(150), rng.randrange(3)):
+                member[at] = f"m{family}x{i}"
+            texts.append(" ".join(member))
+    rng.shuffle(texts)
+    want = components_by_hand(texts, 5)
+    assert len(set(want)) > 2
+    assert {r["doc_id"]: r["component_id"] for r in chosen.near_groups(docs(spark, texts), 5).collect()} == dict(enumerate(want))
+
+
+def test_near_copies_go_row_by_row(spark):
+    """Rows that repeat an identifier go by their own texts; other columns keep their names, also those used within."""
+    base = " ".join(words(100, 5))
+    rows = [(1, base, 1, "a"), (2, base + " end", 2, "b"), (2, "another text of some words", 3, "c"), (None, base, 4, "d"), (3, None, 5, "e"), (4, "", 6, "f"), (2, base + " end", 7, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark long, _keelsort_word string")
+    got = chosen.without_near_copies(df, 5)
+    assert got.columns == df.columns
+    assert sorted(r["mark"] for r in got.collect()) == [1, 3, 4, 5, 6]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (300, 300)]
     df = spark.createDataFrame(edges, "src long, dst long")
     want = {i: 0 for i in range(41)} | {100: 100, 200: 100, 300: 300}
-    for bound in (0, 1000):
-        assert {r["node"]: r["component"] for r in common.components(df, one_task=bound).collect()} == want
-        assert common.components(df.limit(0), one_task=bound).count() == 0
+    assert {r["node"]: r["component"] for r in common.components(df).collect()} == want
+    assert common.components(df.limit(0)).count() == 0
 
 
 def test_bpe_matches_the_library(spark):
