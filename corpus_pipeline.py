@@ -20,9 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the largest doc_id, of each group of equal texts."""
-    groups = common.settle(lsm.exact_groups(docs, keep="max"))
-    gone = groups.where("not kept").select("doc_id").distinct()
-    return common.without(docs, gone, "doc_id")
+    return lsm.without_copies(docs, keep="max")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +30,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of 13-word passages that a document of smaller doc_id has are cut; n_chars follows."""
-    kept = docs.withColumn("_was", F.xxhash64("text"))
-    cut = cover.without_repeats(kept)
-    changed = ~F.xxhash64("text").eqNullSafe(F.col("_was"))
-    return cut.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    plain, back = common.plain_names(docs)
+    at = {name: f"c{docs.columns.index(name)}" for name in ("doc_id", "text", "n_chars")}
+    text = F.col(at["text"])
+    cut = cover.without_repeats(plain.withColumn("was", F.xxhash64(text)), at["doc_id"], at["text"])
+    changed = ~F.xxhash64(text).eqNullSafe(F.col("was"))
+    return back(cut.withColumn(at["n_chars"], F.when(changed, F.char_length(text).cast("long")).otherwise(F.col(at["n_chars"]))))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
