@@ -21,10 +21,12 @@ COORDINATES = 128
 #: pair's chance does not fall with the depth: at 0.8 a tree keeps it with probability 0.73 at two levels, 0.70 at four and 0.695 at ten,
 #: one of TREES with 0.99997, 0.99993 and 0.99992, if trees are independent.
 BRANCHES, LEVELS, DEEPEST, TREES = 2, 2, 10, 8
-#: A large node is dense where so large a share of it is like its smallest text: branching would not take it apart.
+#: A large node is dense where so large a share of it is like one of its centres: branching would not take it apart.
 DENSE = 0.5
 #: Texts in a node that is compared exhaustively, and in a block of a confirming task.
-NODE_LIMIT, BLOCK = 256, 200
+NODE_LIMIT, BLOCK = 1024, 200
+#: Centres that a large node is held against, and rows of 256 bytes a centre up to which they are broadcast.
+CENTRES, BROADCAST_NODES = 3, 8192
 #: Text bytes that a task takes apart at once.
 BATCH_BYTES = 3_000_000
 _rng = np.random.default_rng(20260101)
@@ -62,11 +64,13 @@ def shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     within = np.repeat(full, count)
     out[within] = run[np.flatnonzero(np.cumsum(ends[: len(run)], dtype=np.int8))] + np.uint64(size)
     del run, ends, within
-    for d in np.flatnonzero(~full & (n > 0)).tolist():
-        value = h[offsets[d]]
-        for k in range(offsets[d] + 1, offsets[d + 1]):
-            value = value * _STEP + h[k]
-        out[starts[d]] = value + np.uint64(n[d])
+    # shorter texts: one run of all their words
+    for count_ in range(1, size):
+        short = np.flatnonzero(n == count_)
+        value = np.zeros(len(short), np.uint64)
+        for k in range(count_):
+            value = value * _STEP + h[offsets[short] + k]
+        out[starts[short]] = value + np.uint64(count_)
     out = mix(out)
     for s, e in zip(starts.tolist(), starts[1:].tolist()):
         out[s:e].sort()
@@ -129,7 +133,7 @@ def children(path: np.ndarray, sig: np.ndarray, level: int) -> tuple[np.ndarray,
     paths, rows = [], []
     for j in range(BRANCHES):
         # all texts of a node branch alike: the choice hangs on the path alone, which starts from the tree
-        pick = mix(path + np.uint64(1 + j + BRANCHES * level) * _STEP)
+        pick = mix(path + np.uint64((1 + j + BRANCHES * level) * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
         at = np.arange(len(path)) if j == 0 or level >= LEVELS else np.flatnonzero((pick >> np.uint64(40)) & np.uint64(3) == 0)
         c = (pick[at] % np.uint64(COORDINATES)).astype(np.int64)
         paths.append(mix(path[at] ^ mix((c.astype(np.uint64) << np.uint64(16)) + sig[at, c].astype(np.uint64) + np.uint64(1))))
@@ -166,9 +170,9 @@ def _next_paths(level: int):
                 continue
             sig = _signature_matrix(batch.column(2))
             path = np.asarray(batch.column(0)).view(np.uint64)
-            rep = np.asarray(batch.column(1))
             own, at_row = children(path, sig, level)
-            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(rep[at_row])], names=["path", "rep"])
+            # signatures travel with the rows of large nodes
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), batch.column(1).take(pa.array(at_row)), batch.column(2).take(pa.array(at_row))], names=["path", "rep", "sig"])
 
     return run
 
@@ -195,8 +199,9 @@ def _alike(least: float):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            same = (_signature_matrix(batch.column(1)) == _signature_matrix(batch.column(2))).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array((same >= least * COORDINATES).astype(np.int32))], names=["path", "near"])
+            sig = _signature_matrix(batch.column(1))
+            near = [pa.array(((sig == _signature_matrix(batch.column(2 + k))).sum(axis=1) >= least * COORDINATES).astype(np.int32)) for k in range(CENTRES)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *near], names=["path", *[f"near{k}" for k in range(CENTRES)]])
 
     return run
 
@@ -293,80 +298,95 @@ def _confirm(percent: int):
     return run
 
 
+def _dense(crowd: DataFrame, alone: DataFrame, least: float) -> DataFrame:
+    """Rows (path, dst) of the nodes ``alone(path, centres)`` of which a share of DENSE or more is like the centre ``dst``."""
+    held = crowd.join(alone.select("path", "centres"), "path").where(F.array_contains("centres", F.col("rep")))
+    heads = [F.max(F.when(F.col("rep") == F.col("centres")[k], F.col("sig"))).alias(f"h{k}") for k in range(CENTRES)]
+    heads = settle(held.groupBy("path").agg(*heads, F.first("centres").alias("centres")))
+    few = heads.count() <= BROADCAST_NODES
+    asked = crowd.join(F.broadcast(heads) if few else heads, "path").select("path", "sig", *[f"h{k}" for k in range(CENTRES)])
+    near = asked.mapInArrow(_alike(least), "path long, " + ", ".join(f"near{k} int" for k in range(CENTRES)))
+    share = near.groupBy("path").agg(*[F.avg(f"near{k}").alias(f"s{k}") for k in range(CENTRES)])
+    best = F.greatest(*[F.struct(F.col(f"s{k}").alias("share"), F.col("centres")[k].alias("dst")) for k in range(CENTRES)])
+    return settle(share.join(heads.select("path", "centres"), "path").select("path", best.alias("best")).where(F.col("best.share") >= DENSE).select("path", "best.dst"))
+
+
 def _coarse_links(reps: DataFrame, least: float, trees: int) -> DataFrame:
     """Links (src, dst) that join all texts of ``reps(rep, sig)`` which signatures cannot tell apart, by trees of chosen paths."""
     level, open_ = LEVELS, reps.select("rep", "sig").mapInArrow(_first_paths(trees), "path long, rep long").distinct()
-    small = stars = None
+    small, stars = [], []
+    first, last = F.min(F.struct(F.xxhash64("rep", "path"), "rep")), F.max(F.struct(F.xxhash64("rep", "path"), "rep"))
     while True:
         open_ = settle(open_)
         # nodes: members and two sums that tell their member sets apart
-        nodes = open_.groupBy("path").agg(F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s1"), F.expr("bit_xor(xxhash64(rep, 9))").alias("s2"), F.min("rep").alias("low")).where("m > 1")
-        nodes = settle(nodes)
-        last = level >= DEEPEST
-        done = nodes.where(F.col("m") <= NODE_LIMIT)
-        chosen = done.groupBy("s1", "s2", "m").agg(F.min("path").alias("path")).select("path", "m")
-        got = open_.join(chosen, "path").select("path", "rep")
-        small = got if small is None else small.unionByName(got)
-        large = nodes.where(F.col("m") > NODE_LIMIT).select("path", "s1", "s2", "m", "low")
+        nodes = open_.groupBy("path").agg(
+            F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s1"), F.expr("bit_xor(xxhash64(rep, 9))").alias("s2"),
+            F.array(first["rep"], last["rep"], F.min("rep")).alias("centres"),
+        )
+        nodes = settle(nodes.where("m > 1"))
+        chosen = nodes.where(F.col("m") <= NODE_LIMIT).groupBy("s1", "s2", "m").agg(F.min("path").alias("path")).select("path")
+        small.append(open_.join(chosen, "path"))
+        large = nodes.where(F.col("m") > NODE_LIMIT).drop("m")
         if not large.limit(1).count():
             break
         # of large nodes with the same texts one is looked at
-        alone = large.groupBy("s1", "s2", "m").agg(F.min("path").alias("path"), F.first("low").alias("dst"))
-        crowd = settle(open_.join(alone.select("path", "dst"), "path"))
-        if last:
+        alone = large.groupBy("s1", "s2").agg(F.min(F.struct("path", "centres")).alias("one")).select("s1", "s2", "one.*")
+        crowd = open_.join(large.select("path"), "path")
+        if level == LEVELS:
+            crowd = crowd.join(reps.select("rep", "sig"), "rep").select("path", "rep", "sig")
+        crowd = settle(crowd)
+        if level >= DEEPEST:
             # alike in all coordinates of the deepest path
-            tied = crowd
-        else:
-            heads = alone.select("dst").distinct().join(reps.select(F.col("rep").alias("dst"), F.col("sig").alias("head")), "dst")
-            near = crowd.join(reps.select("rep", "sig"), "rep").join(heads, "dst").select("path", "sig", "head").mapInArrow(_alike(least), "path long, near int")
-            dense = settle(near.groupBy("path").agg(F.avg("near").alias("share")).where(F.col("share") >= DENSE).select("path"))
-            tied = crowd.join(dense, "path", "left_semi")
-            large = large.join(alone.join(dense, "path", "left_semi").select("s1", "s2", "m"), ["s1", "s2", "m"], "left_anti").select("path")
-        # a node that does not come apart is tied to its smallest text as it is: full sets decide later
-        tied = tied.select(F.col("rep").alias("src"), "dst").where("src <> dst")
-        stars = tied if stars is None else stars.unionByName(tied)
-        if last:
+            stars.append(crowd.join(alone.select("path", F.col("centres")[2].alias("dst")), "path").select("rep", "dst"))
             break
-        big = open_.join(large, "path").join(reps.select("rep", "sig"), "rep").select("path", "rep", "sig")
-        open_ = big.mapInArrow(_next_paths(level), "path long, rep long").distinct()
+        dense = _dense(crowd, alone, least)
+        # a node that does not come apart is tied to its centre as it is: full sets decide later
+        stars.append(crowd.join(dense, "path").select("rep", "dst"))
+        done = alone.join(dense, "path", "left_semi").select("s1", "s2")
+        rest = large.join(done, ["s1", "s2"], "left_anti").select("path")
+        open_ = crowd.join(rest, "path").select("path", "rep", "sig").mapInArrow(_next_paths(level), "path long, rep long, sig binary").dropDuplicates(["path", "rep"])
         level += 1
-    sigs = small.join(reps.select("rep", "sig"), "rep")
-    coarse = sigs.select("path", "rep", "sig").repartition("path").sortWithinPartitions("path").mapInArrow(_compare(least), "src long, dst long")
-    if stars is not None:
-        coarse = coarse.unionByName(stars)
-    return settle(coarse.distinct())
+    with_sig = small[0].join(reps.select("rep", "sig"), "rep").select("path", "rep", "sig")
+    for more in small[1:]:
+        with_sig = with_sig.unionByName(more)
+    links = with_sig.repartition("path").sortWithinPartitions("path").mapInArrow(_compare(least), "src long, dst long")
+    for more in stars:
+        links = links.unionByName(more.select(F.greatest("rep", "dst").alias("src"), F.least("rep", "dst").alias("dst")).where("src <> dst"))
+    return settle(links.distinct())
 
 
-def _confirmed(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (src, dst) of texts alike on full sets that join all such texts of each coarse component of ``sets(rep, component, m, shingles)``.
+def _confirmed(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Links (src, dst) of texts alike on full sets that join all such texts of each coarse component of ``placed(rep, component, m)``; ``sets(rep, shingles)``.
 
     A component of up to BLOCK texts is one group of a task. Of a larger one, each text
     is first held against the component's centre, its smallest text; what that links is
     one from then on. Only the others still meet all texts, block by block: with all
     linked to the centre, nothing is copied.
     """
-    few = sets.where(F.col("m") <= BLOCK).select(F.xxhash64("component").alias("task"), "rep", F.lit(False).alias("tied"), "shingles")
-    many = sets.where(F.col("m") > BLOCK).select("rep", "component", "shingles")
-    if not many.limit(1).count():
-        return settle(few.repartition("task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "src long, dst long"))
-    heads = many.where("rep = component").select("component", F.col("shingles").alias("head")).dropDuplicates(["component"])
-    star = many.where("rep <> component").join(heads, "component").select("rep", "component", "shingles", "head")
-    links = settle(star.mapInArrow(_confirm_star(percent), "src long, dst long"))
-    tied = links.select(F.col("src").alias("rep")).distinct().withColumn("tied", F.lit(True))
-    known = many.join(tied, "rep", "left").withColumn("tied", F.coalesce("tied", F.lit(False)) | (F.col("rep") == F.col("component")))
-    counts = settle(known.groupBy("component").agg(F.count_if(F.col("tied")).alias("inner"), F.count_if(~F.col("tied")).alias("outer")).where("outer > 0"))
-    parts = [F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("inner", "outer")]
-    dealt = known.join(counts, "component").select("rep", "component", "tied", "shingles", parts[0].alias("inners"), parts[1].alias("outers"))
-    block = F.pmod(F.xxhash64("rep", F.lit(3)), F.when(F.col("tied"), F.col("inners")).otherwise(F.col("outers"))).cast("int")
-    dealt = dealt.withColumn("block", block)
-    # (0, outer block, inner block) and (1, outer block, outer block): a text that is not tied meets all, a tied one only those
-    crossed = dealt.where("tied").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outers") - 1))).select("component", F.lit(0).alias("kind"), F.col("other").alias("i"), F.col("block").alias("j"), "rep", "tied", "shingles")
-    outer = dealt.where("not tied")
-    inward = outer.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("inners") - 1))).select("component", F.lit(0).alias("kind"), F.col("block").alias("i"), F.col("other").alias("j"), "rep", "tied", "shingles")
-    among = outer.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("outers") - 1))).select("component", F.lit(1).alias("kind"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "tied", "shingles")
-    blocks = crossed.unionByName(inward).unionByName(among).select(F.xxhash64("component", "kind", "i", "j").alias("task"), "rep", "tied", "shingles")
-    tasks = few.unionByName(blocks)
-    return links.unionByName(settle(tasks.repartition("task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "src long, dst long")))
+    tasks = placed.where(F.col("m") <= BLOCK).select("rep", F.xxhash64("component").alias("task"), F.lit(False).alias("tied"))
+    many = placed.where(F.col("m") > BLOCK).select("rep", "component")
+    links = None
+    if many.limit(1).count():
+        heads = settle(sets.withColumnRenamed("shingles", "head").join(many.where("rep = component"), "rep").select("component", "head").dropDuplicates(["component"]))
+        small = (heads.agg(F.sum(F.octet_length("head"))).first()[0] or 0) <= BROADCAST_NODES * 1024
+        star = sets.join(many.where("rep <> component"), "rep").join(F.broadcast(heads) if small else heads, "component").select("rep", "component", "shingles", "head")
+        links = settle(star.mapInArrow(_confirm_star(percent), "src long, dst long"))
+        tied = links.select(F.col("src").alias("rep")).distinct().withColumn("tied", F.lit(True))
+        known = many.join(tied, "rep", "left").withColumn("tied", F.coalesce("tied", F.lit(False)) | (F.col("rep") == F.col("component")))
+        counts = settle(known.groupBy("component").agg(F.count_if(F.col("tied")).alias("inner"), F.count_if(~F.col("tied")).alias("outer")).where("outer > 0"))
+        parts = [F.ceil(F.col(c) / F.lit(BLOCK)).cast("int") for c in ("inner", "outer")]
+        dealt = known.join(counts, "component").select("rep", "component", "tied", parts[0].alias("inners"), parts[1].alias("outers"))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.when(F.col("tied"), F.col("inners")).otherwise(F.col("outers"))).cast("int"))
+        # (0, outer block, inner block) and (1, outer block, outer block): a text that is not tied meets all, a tied one only those
+        block, inners, outers = F.col("block"), F.sequence(F.lit(0), F.col("inners") - 1), F.sequence(F.lit(0), F.col("outers") - 1)
+        crossed = F.transform(outers, lambda o: F.xxhash64("component", F.lit(0), o, block))
+        inward = F.transform(inners, lambda o: F.xxhash64("component", F.lit(0), block, o))
+        among = F.transform(outers, lambda o: F.xxhash64("component", F.lit(1), F.least(block, o), F.greatest(block, o)))
+        met = F.when(F.col("tied"), crossed).otherwise(F.concat(inward, among))
+        tasks = tasks.unionByName(dealt.select("rep", F.explode(met).alias("task"), "tied"))
+    asked = sets.join(tasks, "rep").select("task", "rep", "tied", "shingles")
+    found = settle(asked.repartition("task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "src long, dst long"))
+    return found if links is None else links.unionByName(found)
 
 
 def _near_rows(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str, trees: int) -> DataFrame:
@@ -383,16 +403,16 @@ def _near_rows(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     groups = components(_coarse_links(reps, least, trees))
     members = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     placed = settle(groups.join(members, "component").select(F.col("node").alias("rep"), "component", "m").join(reps.select("rep", "place"), "rep").select("rep", "component", "m", "place.*"))
-    wanted = semi_by_filter(own, placed, "doc_id").join(placed, ["doc_id", "mark"])
+    wanted = semi_by_filter(own, placed, "doc_id").join(placed.select("rep", "doc_id", "mark"), ["doc_id", "mark"])
 
     def sets_of(batches):
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
                 sets, offsets = shingles(texts_of(part, "text"), size)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), _binary(sets, offsets[1:])], names=["rep", "component", "m", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _binary(sets, offsets[1:])], names=["rep", "shingles"])
 
-    sets = settle(wanted.select("rep", "component", "m", "text").mapInArrow(sets_of, "rep long, component long, m long, shingles binary"))
-    found = components(_confirmed(sets, percent))
+    sets = settle(wanted.select("rep", "text").mapInArrow(sets_of, "rep long, shingles binary"))
+    found = components(_confirmed(sets, placed, percent))
     named = reps.select("k1", "k2", "n", "rep", F.col("place.doc_id").alias("low")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     least_id = named.where("component is not null").groupBy("component").agg(F.min("low").alias("least"))
     lead = settle(named.join(least_id, "component", "left").select("k1", "k2", "n", F.coalesce("least", "low").alias("component_id")))

@@ -190,7 +190,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     edges are allowed; an empty list gives an empty result.
     """
     both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    both = settle(both.union(both.select("b", "a")).distinct())
+    both = settle(both.union(both.select("b", "a")))
     # the label of a node is the smallest node seen so far
     labels = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"))
     for _ in range(max_rounds):
