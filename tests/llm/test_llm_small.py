@@ -489,3 +489,22 @@ def test_training_reads_whole_texts(spark):
     odd = pa.array(["", "b a B", "... x", None and ""], pa.large_string()).fill_null("")
     names, of_doc, ends = toxic.unpacked_bags(toxic.packed_bags(odd))
     assert [names.to_pylist()[k] for k in of_doc] == ["a", "b", "", "x"] and ends.tolist() == [0, 2, 4, 4]
+
+
+def test_lines_of_families_in_one_template(spark):
+    """Families of two in one template: the pairs share their bands with lines that are no partners of theirs."""
+    rng = random.Random(5)
+    base, lines = words(60, 71), []
+    for family in range(40):
+        own = list(base)
+        for at in rng.sample(range(60), 6):
+            own[at] = f"f{family}at{at}"
+        for member in range(2):
+            line = list(own)
+            for at in rng.sample(range(60), 2):
+                line[at] = f"m{family}x{member}"
+            lines.append(" ".join(line))
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for x in lines]
+    got = {r["line_no"]: r["keep_line_no"] for r in fuzzy_lines.near_lines(docs(spark, ["\n".join(lines)])).collect()}
+    pairs = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert pairs and sum(got[i] == got[j] for i, j in pairs) >= 0.97 * len(pairs)
