@@ -40,7 +40,7 @@ def fit(
     names = list(dict.fromkeys(normalized(a) for a in algorithms))
     level = None if isinstance(compression, dict) else storage.effective_level(compression, compression_level)
     settings = {"compression": compression, "compression_level": compression_level if isinstance(compression, dict) else level, "row_group_size": row_group_size, "writer": writer}
-    base = plan_sort(df, "none", prefix, order=order)
+    base = plan_sort(df, "none", prefix, order=order, **{k: v for k, v in planning.items() if k == "null_placement"})
     smallest = baseline = written_bytes(df, base, order, **settings)
     best, sizes = base, {"none": baseline}
     for name in names:
@@ -75,7 +75,8 @@ def fit_dataset(
     train = [files[i] for i in storage.spread_indices(len(files), sample_files)]
     rest = [f for f in files if f not in train]
     held = [rest[i] for i in storage.spread_indices(len(rest), validation_files)] if rest and validation_files else []
-    looked = [files[i] for i in storage.spread_indices(len(files), footer_files)]
+    # no number of footers means all of them
+    looked = [files[i] for i in storage.spread_indices(len(files), footer_files or len(files))]
     found = storage.footers(spark, [f.path for f in dict.fromkeys([*looked, *train, *held])])
     storage.check_one_schema(found)
     codec, level = storage.resolve_compression(storage.inspect_compression(found, compression_manifest), compression, compression_level)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
+import operator
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -48,15 +51,20 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "_row") -> Data
 
 
 def stratified_sample(df: DataFrame, rows: int, order: Sequence[Column], sample_rows: int | None = SAMPLE_ROWS, strata: int = STRATA) -> DataFrame:
-    """The rows of `stratified_windows`; the table itself where it is no larger."""
+    """The rows of `stratified_windows`, one for each window that holds it; the table itself where it is no larger.
+
+    Windows overlap where the sample is nearly as large as the table.
+    """
     windows = stratified_windows(rows, sample_rows, strata)
     if not windows or windows == [(0, rows)]:
         return df
-    inside = None
-    for start, length in windows:
-        one = F.col("_row").between(start, start + length - 1)
-        inside = one if inside is None else inside | one
-    return numbered(df, order).where(inside).drop("_row")
+    held = [F.col("_row").between(start, start + length - 1) for start, length in windows]
+    inside = functools.reduce(operator.or_, held)
+    sample = numbered(df, order).where(inside)
+    if any(a + n > b for (a, n), (b, _) in itertools.pairwise(windows)):
+        times = functools.reduce(operator.add, [h.cast("int") for h in held])
+        sample = sample.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).drop("_copy")
+    return sample.drop("_row")
 
 
 def distributions(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -39,8 +39,11 @@ def rewrite_file(
     spark: SparkSession, source: str, destination: str, plan: RewritePlan, compression="preserve", compression_level="preserve", compression_manifest: dict | None = None, skip_unchanged: bool = True,
     overwrite: bool = False, writer: str = "spark", row_group_size: int | None = None, **options,
 ) -> WriteResult:
-    """Apply a plan to one file. The result is published only if it is smaller than the source; else the source's bytes are.
+    """Apply a plan to one file.
 
+    Where the plan has no required prefix, all settings are the source's and
+    ``skip_unchanged`` holds, the result is published only if it is smaller than the
+    source; else the source's bytes are. What the caller asks for is always written.
     A plan without keys and with the source's settings copies the bytes, or leaves the
     file alone where source and destination are one.
     """
@@ -55,7 +58,7 @@ def rewrite_file(
     found = storage.footers(spark, [info[0].path]).cache()
     try:
         codec, level = storage.resolve_compression(storage.inspect_compression(found, compression_manifest), compression, compression_level)
-        unchanged = not plan.sort_keys and compression == "preserve" and compression_level == "preserve" and row_group_size is None and not options
+        preserved = skip_unchanged and compression == "preserve" and compression_level == "preserve" and row_group_size is None and not options
         first = found.select("rows", "arrow_schema").first()
     finally:
         found.unpersist()
@@ -65,7 +68,7 @@ def rewrite_file(
     def done(action: str, size: int) -> WriteResult:
         return WriteResult(source, target, action, first["rows"], info[0].size, size, time.perf_counter() - began, bound)
 
-    if unchanged and skip_unchanged:
+    if preserved and not plan.sort_keys:
         if in_place:
             return done("skipped", info[0].size)
         storage.copy(spark, info[0].path, target, overwrite)
@@ -76,11 +79,11 @@ def rewrite_file(
     if _needs_arrow(codec):
         writer = "arrow"
     folder, _, name = target.rpartition("/")
-    candidate = f"{folder}/_candidate-{os.urandom(16).hex()}/{name}"
+    candidate = f"{folder}/.{name}.keelsort-{os.urandom(16).hex()}.tmp/{name}"
     try:
         made = write_sorted(df, bound, candidate, codec, level, row_group_size or plan.row_group_size, writer=writer, **options)
         size = storage.size_of(spark, made[0])
-        if size < info[0].size:
+        if size < info[0].size or not preserved or plan.prefix_keys:
             storage.rename(spark, made[0], target, overwrite or in_place)
             return done("written", size)
     finally:
@@ -116,8 +119,7 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    fs.delete(target, False)
-    fs.rename(hidden, target)
+    storage.rename(spark, f"{path}.tmp", path, overwrite=True)
 
 
 def _markers(spark: SparkSession, destination: str) -> dict[str, dict]:
@@ -191,9 +193,16 @@ def rewrite_dataset(
             taken = [f.relative for f in left if storage.exists(spark, f"{b}/{f.relative}")]
             if taken:
                 raise FileExistsError(f"{len(taken)} outputs exist, the first is {taken[0]}")
-        for folder in sorted({f"{b}/{f.relative}".rpartition("/")[0] for f in left}):
-            for path in storage.stale_temporaries(spark, folder):
+        wanted: dict[str, set[str]] = {}
+        for f in left:
+            folder, _, name = f"{b}/{f.relative}".rpartition("/")
+            wanted.setdefault(folder, set()).add(name)
+        for folder, names in sorted(wanted.items()):
+            for path in storage.stale_temporaries(spark, folder, names):
                 storage.delete(spark, path)
+        twice = sorted({f.path for f in left} & {f"{b}/{g.relative}" for g in left}) if not in_place else []
+        if twice:
+            raise ValueError(f"the output would overwrite the source {twice[0]}")
 
     def one_file(f: FileInfo) -> WriteResult:
         own = (compression_manifest or {}).get("files", {}).get(f.relative) or {k: v for k, v in (compression_manifest or {}).items() if k != "files"} or None

@@ -11,20 +11,22 @@ from keelsort.functions.ordering import POSITION, col, sort_columns, with_positi
 SEEDS = (11, 12)
 
 
-def _hashable(field: T.StructField) -> Column:
-    """A column in a form that hashes: bytes of strings, entries of maps in order, nested values by their JSON."""
-    c = col(field.name)
-    kind = field.dataType
+def _hashable(c: Column, kind: T.DataType) -> Column:
+    """A value in a form that hashes: bytes of strings, entries of maps in the order of their keys, at any depth."""
     if isinstance(kind, T.StringType):
         return c.cast("binary")
     if isinstance(kind, T.MapType):
-        return F.sort_array(F.map_entries(c))
+        return F.sort_array(F.transform(F.map_entries(c), lambda e: F.struct(_hashable(e["key"], kind.keyType).alias("key"), _hashable(e["value"], kind.valueType).alias("value"))))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _hashable(x, kind.elementType))
+    if isinstance(kind, T.StructType) and kind.fields:
+        return F.when(c.isNotNull(), F.struct(*[_hashable(c[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)]))
     return c
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """One row (rows, sum1, xor1, sum2, xor2) that is the same for the same rows in any order; one aggregate without a shuffle of rows."""
-    columns = [_hashable(f) for f in df.schema.fields]
+    columns = [_hashable(col(f.name), f.dataType) for f in df.schema.fields]
     # nulls do not change a hash: their places are hashed as well
     nulls = [col(f.name).isNull().cast("int") for f in df.schema.fields]
     hashed = df.select(*[F.xxhash64(F.lit(s), *columns, *nulls).alias(f"h{i}") for i, s in enumerate(SEEDS, 1)])

@@ -224,9 +224,9 @@ def windows(name: str, sample_rows: int):
 def windows_sql(name: str, sample_rows: int) -> str:
     ids = ", ".join(IDENTITY[name])
     return f"""WITH n AS (SELECT count(*) AS n FROM {name}), s AS (SELECT i, {sample_rows} // 16 + (CASE WHEN i < {sample_rows} % 16 THEN 1 ELSE 0 END) AS len FROM range(16) t(i)),
-        w AS (SELECT round_even(i * (n - len) / 15.0, 0)::BIGINT AS lo, len FROM s, n),
+        w AS (SELECT i, round_even(i * (n - len) / 15.0, 0)::BIGINT AS lo, len FROM s, n),
         o AS (SELECT {ids}, row_number() OVER (ORDER BY {ids}) - 1 AS r FROM {name})
-        SELECT DISTINCT {ids} FROM o JOIN w ON r >= lo AND r < lo + len OR (SELECT n FROM n) <= {sample_rows}"""
+        SELECT {ids} FROM o JOIN w ON CASE WHEN (SELECT n FROM n) <= {sample_rows} THEN i = 0 ELSE r >= lo AND r < lo + len END"""
 
 
 def bounds(name: str, keys: list[str], ranges: int):
@@ -397,6 +397,7 @@ _add("frequency_order_events", by_frequency("events", [], ["event_type", "user_i
 _add("run_cost_orders", run_cost("orders", ["o_orderstatus", "o_orderpriority"]), run_cost_sql("orders", ["o_orderstatus", "o_orderpriority"]))
 _add("run_cost_events", run_cost("events", ["event_type", "user_id"]), run_cost_sql("events", ["event_type", "user_id"]))
 _add("stratified_windows_orders", windows("orders", 1000), windows_sql("orders", 1000))
+_add("stratified_windows_nearly_all_orders", windows("orders", 14_990), windows_sql("orders", 14_990))
 _add("stratified_windows_events", windows("events", 777), windows_sql("events", 777))
 _add("range_bounds_orders", bounds("orders", ["o_totalprice"], 8), bounds_sql("orders", ["o_totalprice"], 8))
 _add("range_bounds_customer", bounds("customer", ["c_mktsegment", "c_nationkey"], 16), bounds_sql("customer", ["c_mktsegment", "c_nationkey"], 16))

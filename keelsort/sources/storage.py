@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 PLAN_KEY, COMPRESSION_KEY = "keelsort.sort_plan", "keelsort.compression"
 #: Codecs with levels and the level each library takes by default.
 DEFAULT_LEVELS = {"zstd": 1, "gzip": 9, "brotli": 1}
-TEMPORARY = re.compile(r"^\..+\.keelsort-[0-9a-f]{32}\.tmp$")
+TEMPORARY = re.compile(r"^\.(.+)\.keelsort-[0-9a-f]{32}\.tmp$")
 
 
 @dataclass(frozen=True)
@@ -56,15 +57,25 @@ def delete(spark: SparkSession, location: str) -> None:
 
 
 def rename(spark: SparkSession, source: str, target: str, overwrite: bool = False) -> None:
-    """Move a file; an existing target is an error unless ``overwrite``."""
+    """Move a file; an existing target is an error unless ``overwrite``.
+
+    A file that is replaced is moved aside until the new one is in its place, so that no
+    crash leaves neither; it comes back where the move fails.
+    """
     fs, a = _path(spark, source)
     _, b = _path(spark, target)
     fs.mkdirs(b.getParent())
     if fs.exists(b):
         if not overwrite:
             raise FileExistsError(target)
-        fs.delete(b, False)
-    if not fs.rename(a, b):
+        aside = b.suffix(f".{os.urandom(8).hex()}.replaced")
+        if not fs.rename(b, aside):
+            raise OSError(f"cannot move {target} aside")
+        if not fs.rename(a, b):
+            fs.rename(aside, b)
+            raise OSError(f"cannot move {source} to {target}")
+        fs.delete(aside, False)
+    elif not fs.rename(a, b):
         raise OSError(f"cannot move {source} to {target}")
 
 
@@ -305,9 +316,10 @@ def effective_level(codec, level):
     return DEFAULT_LEVELS[codec] if level is None else level
 
 
-def stale_temporaries(spark: SparkSession, folder: str) -> list[str]:
-    """Hidden leftovers of interrupted writes in a folder."""
+def stale_temporaries(spark: SparkSession, folder: str, names: Iterable[str]) -> list[str]:
+    """Hidden leftovers of interrupted writes of the named outputs of a folder; those of others may be in work."""
+    names = set(names)
     fs, path = _path(spark, folder)
     if not fs.exists(path):
         return []
-    return [s.getPath().toString() for s in fs.listStatus(path) if TEMPORARY.match(s.getPath().getName())]
+    return [s.getPath().toString() for s in fs.listStatus(path) if (m := TEMPORARY.match(s.getPath().getName())) and m[1] in names]

@@ -8,7 +8,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from keelsort.functions.ordering import dense_ranks, frequency_order, frequency_ranks, run_counts, sort_columns
-from keelsort.operators.profile import distributions, numbered, profile_table, stratified_windows
+from keelsort.operators.profile import distributions, numbered, profile_table, stratified_sample, stratified_windows
 
 
 def frame(spark, rows, schema):
@@ -55,7 +55,17 @@ def test_windows_hold_the_sample(rows, sample):
     got = stratified_windows(rows, sample)
     assert sum(n for _, n in got) == min(rows, sample)
     assert all(0 <= s and s + n <= rows for s, n in got)
-    assert all(a[0] + a[1] <= b[0] for a, b in zip(got, got[1:]))
+    # ascending; they overlap only where the sample is nearly the table
+    assert all(a[0] <= b[0] for a, b in zip(got, got[1:]))
+    if 2 * sample < rows:
+        assert all(a[0] + a[1] <= b[0] for a, b in zip(got, got[1:]))
+
+
+def test_sample_holds_a_row_for_each_window(spark):
+    df = spark.range(18)
+    got = sorted(r["id"] for r in stratified_sample(df, 18, [F.col("id")], 17).collect())
+    want = sorted(r for start, n in stratified_windows(18, 17) for r in range(start, start + n))
+    assert got == want and len(got) == 17
 
 
 def test_sample_sizes_are_checked():

@@ -141,8 +141,33 @@ def test_no_keys_copy_bytes(spark, tree, tmp_path):
 def test_larger_results_are_not_published(spark, tmp_path):
     source = str(tmp_path / "in.parquet")
     pq.write_table(rows(0, 50), source, compression="zstd", compression_level=19)
-    got = rewrite.rewrite(spark, source, str(tmp_path / "out.parquet"), RewritePlan(("position",)), compression="none")
-    assert got.action == "kept" and open(source, "rb").read() == open(tmp_path / "out.parquet", "rb").read()
+    plan, out = RewritePlan(("position",)), str(tmp_path / "out.parquet")
+    got = rewrite.rewrite(spark, source, out, plan, compression_manifest={"codec": "zstd", "level": 19})
+    assert got.action == "kept" and open(source, "rb").read() == open(out, "rb").read()
+    # what the caller asks for is written, whatever its size
+    asked = [
+        (plan, {"compression": "none"}),
+        (plan, {"compression_manifest": {"codec": "zstd", "level": 19}, "skip_unchanged": False}),
+        (RewritePlan(("position",), prefix_keys=("position",)), {"compression_manifest": {"codec": "zstd", "level": 19}}),
+    ]
+    for own, options in asked:
+        got = rewrite.rewrite(spark, source, out, own, overwrite=True, **options)
+        assert got.action == "written" and open(source, "rb").read() != open(out, "rb").read()
+    assert os.listdir(tmp_path).count("out.parquet") == 1 and not glob.glob(str(tmp_path / "*.replaced"))
+
+
+def test_leftovers_of_other_outputs_stay(spark, tmp_path):
+    hidden = [f".{name}.keelsort-{'0' * 32}.tmp" for name in ("a.parquet", "b.parquet")]
+    for name in hidden:
+        (tmp_path / name).write_text("x")
+    assert [p.rpartition("/")[2] for p in storage.stale_temporaries(spark, str(tmp_path), ["a.parquet"])] == hidden[:1]
+
+
+def test_nested_maps_have_a_fingerprint(spark):
+    df = spark.sql("select 1 as id, named_struct('m', map('a', 1, 'b', 2)) as s, array(map('x', 'y')) as l")
+    same = spark.sql("select 1 as id, named_struct('m', map('b', 2, 'a', 1)) as s, array(map('x', 'y')) as l")
+    other = spark.sql("select 1 as id, named_struct('m', map('a', 1, 'b', 3)) as s, array(map('x', 'y')) as l")
+    assert verify.same_content(df, same) and not verify.same_content(df, other)
 
 
 def test_types_that_would_change_are_refused(spark, tmp_path):
