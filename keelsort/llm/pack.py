@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from keelsort.llm.bpe import piece_lengths
-from keelsort.llm.common import settle
+from keelsort.llm.common import plain_names, settle
 
 #: Tokens that one packing group takes on; more groups leave more bins partly filled.
 GROUP_TOKENS = 40_000_000
@@ -71,28 +71,30 @@ class Packer:
 def pack_pieces(pieces: DataFrame, capacity: int, open_bins: int = OPEN_BINS, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """Add sequence_id and offset to rows with doc_id, piece and length (1..capacity).
 
-    Groups get whole documents by a hash of doc_id. Within a group pieces are taken by
+    Groups get pieces by a hash of doc_id and piece. Within a group pieces are taken by
     a hash of their key, so that long and short ones mix; ties go by doc_id and piece.
     An empty input gives an empty result; rows of equal doc_id and piece are packed
-    each. The only figure that comes to the driver is the sum of lengths.
+    each; other columns are kept, whatever their names. The only figure that comes to the driver is the sum of lengths.
     """
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, math.ceil(total / group_tokens))
+    plain, _ = plain_names(pieces)
+    names = plain.columns
+    doc_id, piece, length = (names[pieces.columns.index(c)] for c in ("doc_id", "piece", "length"))
     dealt = (
-        pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
-        .withColumn("_turn", F.xxhash64("piece", "doc_id", F.lit(17)))
-        .repartition(groups, "_group")
-        .sortWithinPartitions("_group", "_turn", "doc_id", "piece")
+        plain.withColumn("group", F.pmod(F.xxhash64(doc_id, piece), F.lit(groups)).cast("int"))
+        .withColumn("turn", F.xxhash64(piece, doc_id, F.lit(17)))
+        .repartition(groups, "group")
+        .sortWithinPartitions("group", "turn", doc_id, piece)
     )
-    names = pieces.columns
 
     def run(batches):
         packer, group = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own = batch.column(batch.schema.get_field_index("_group")).to_pylist()
-            lengths = batch.column(batch.schema.get_field_index("length")).to_pylist()
+            own = batch.column(batch.schema.get_field_index("group")).to_pylist()
+            lengths = batch.column(batch.schema.get_field_index(length)).to_pylist()
             seq, off = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
             for i, (g, n) in enumerate(zip(own, lengths)):
                 if g != group:
@@ -102,8 +104,8 @@ def pack_pieces(pieces: DataFrame, capacity: int, open_bins: int = OPEN_BINS, gr
             kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return dealt.mapInArrow(run, f"{fields}, sequence_id long, offset long")
+    fields = ", ".join(f"{name} {f.dataType.simpleString()}" for name, f in zip(names, pieces.schema.fields))
+    return dealt.mapInArrow(run, f"{fields}, sequence_id long, offset long").toDF(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int = 1, open_bins: int = OPEN_BINS, group_tokens: int = GROUP_TOKENS) -> DataFrame:

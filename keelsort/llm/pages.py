@@ -9,9 +9,11 @@ with their own best container where none of those is in the page.
 from __future__ import annotations
 
 import html as _html
+import itertools
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from keelsort.llm.common import settle
@@ -23,7 +25,7 @@ BROADCAST_ROWS = 20_000
 
 # Element names and class words, by what they are for.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select".split())
 NOISE_TAGS = frozenset("nav header footer aside form button dialog menu head".split())
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion disqus footer "
@@ -48,7 +50,9 @@ CLOSES_P = BLOCKS - {"body", "html"}
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 
-_TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[!?/][^>]*>)", re.S)
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+#: What ends a tag, or begins a quoted value in it.
+_END = re.compile(r">|=\s*([\"'])")
 #: One attribute, its value consumed: names are found at attribute-name positions only.
 _ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _ASKED = frozenset("class id role hidden aria-hidden".split())
@@ -68,11 +72,64 @@ def noise_name(name: str) -> bool:
     return words[0] in NOISE_WORDS and words[-1] not in FORMS
 
 
+def tags(source: str):
+    """(start, end, name or None, whether it closes, attributes) of each tag, comment and declaration; one scan of the page.
+
+    A quote that nothing closes is a character like others. What begins like a tag and
+    never ends is text.
+    """
+    at, unclosed = 0, set()
+    while (m := _OPEN.search(source, at)) is not None:
+        start, name = m.start(), m[3]
+        if m[1]:
+            end = source.find("-->", m.end())
+            at = len(source) if end < 0 else end + 3
+            yield start, at, None, False, ""
+            continue
+        end = -1
+        if name is not None:
+            k = m.end()
+            while (e := _END.search(source, k)) is not None:
+                if e[1] is None:
+                    end = e.start()
+                    break
+                k = e.end()
+                if e[1] not in unclosed:
+                    close = source.find(e[1], k)
+                    if close < 0:
+                        unclosed.add(e[1])
+                    else:
+                        k = close + 1
+        if end < 0:
+            end = source.find(">", m.end())
+            if end < 0:
+                return
+        at = end + 1
+        own = yield start, at, name, bool(m[2]), source[m.end() : end] if name is not None else ""
+        if own is not None:
+            # the reader has gone on within the page
+            at = own
+            yield None
+
+
+def path_digest(path: str) -> int:
+    """Digest of a path, as elements have it."""
+    digest = 0
+    for segment in path.split("/")[1:]:
+        digest = xxhash.xxh3_64_intdigest(segment, digest)
+    return digest
+
+
 class Page:
-    """Blocks of text of a page and the elements around them, in page order."""
+    """Blocks of text of a page and the elements around them, in page order.
+
+    An element has its parent, its own segment and a digest of its path, so a page needs
+    memory in proportion to its length, however deep it is.
+    """
 
     def __init__(self, source: str):
-        self.paths: list[str] = [""]
+        self.segments: list[str] = [""]
+        self.digests: list[int] = [0]
         self.parents: list[int] = [-1]
         self.tags: list[str] = ["#root"]
         self.ends: list[int] = [-1]
@@ -87,6 +144,7 @@ class Page:
 
     def _parse(self, source: str) -> None:
         stack: list[tuple[str, int, bool]] = [("#root", 0, False)]  # tag, element (of the nearest block for inline tags), noise
+        open_tags: dict[str, int] = {}
         text: list[str] = []
         noise_text: list[str] = []
         links, noise_links, in_link = 0, 0, 0
@@ -124,28 +182,23 @@ class Page:
         def pop():
             nonlocal owner, in_link
             tag, at, _ = stack.pop()
+            open_tags[tag] -= 1
             if tag == "a":
                 in_link = max(0, in_link - 1)
             if tag in BLOCKS:
                 flush()
-                self.ends[at] = len(self.paths)
+                self.ends[at] = len(self.parents)
                 owner = stack[-1][1]
 
-        at = 0
-        find = _TAG.search
-        while True:
-            m = find(source, at)
-            if m is None:
-                add(source[at:])
-                break
-            add(source[at : m.start()])
-            at = m.end()
-            name = m[2] or m[5]
+        at, found_tags, known = 0, tags(source), {}
+        for start, end, name, closing, attrs in found_tags:
+            add(source[at:start])
+            at = end
             if name is None:
                 continue
-            name, closing, attrs = name.lower(), bool(m[1] or m[4]), (m[3] if m[2] else m[6]) or ""
+            name = name.lower()
             if closing:
-                if any(t == name for t, _, _ in stack[1:]):
+                if open_tags.get(name):
                     while stack[-1][0] != name:
                         pop()
                     pop()
@@ -153,20 +206,21 @@ class Page:
                     add(" ")
                 continue
             if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
                 if not attrs.endswith("/") or name in ("script", "style", "textarea", "title"):
-                    at = end.end() if end else len(source)
+                    close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+                    at = close.end() if close else len(source)
+                    found_tags.send(at)
                 continue
             if name in VOID:
                 if name == "hr":
                     flush()
                 add(" ")
                 continue
-            if name in CLOSES_P and any(t == "p" for t, _, _ in stack):
+            if name in CLOSES_P and open_tags.get("p"):
                 while stack[-1][0] != "p":
                     pop()
                 pop()
-            if name in CLOSED_BY:
+            if name in CLOSED_BY and any(open_tags.get(t) for t in CLOSED_BY[name]):
                 scope = SCOPES[name]
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] in scope:
@@ -189,20 +243,32 @@ class Page:
                 flush()
                 classes = ".".join(sorted({_DIGITS.sub("#", c) for c in found.get("class", "").lower().split()}))
                 parent = stack[-1][1]
-                self.paths.append(f"{self.paths[parent]}/{name}{'.' + classes if classes else ''}")
+                segment = f"{name}{'.' + classes if classes else ''}".replace("/", "|")
+                self.segments.append(known.setdefault(segment, segment))
+                self.digests.append(xxhash.xxh3_64_intdigest(segment, self.digests[parent]))
                 self.parents.append(parent)
                 self.tags.append(name)
                 self.ends.append(-1)
-                owner = len(self.paths) - 1
+                owner = len(self.parents) - 1
                 stack.append((name, owner, noise))
             else:
                 if name == "a":
                     in_link += 1
                 stack.append((name, stack[-1][1], noise))
+            open_tags[name] = open_tags.get(name, 0) + 1
+        add(source[at:])
         while len(stack) > 1:
             pop()
         flush()
-        self.ends = [len(self.paths) if e < 0 else e for e in self.ends]
+        self.ends = [len(self.parents) if e < 0 else e for e in self.ends]
+
+    def path(self, at: int) -> str:
+        """Segments from the root to an element, each after a slash."""
+        out = []
+        while at > 0:
+            out.append(self.segments[at])
+            at = self.parents[at]
+        return "".join("/" + segment for segment in reversed(out))
 
     def scores(self) -> dict[int, float]:
         """Score of each container: the text of its own blocks, and half of that one level below."""
@@ -227,15 +293,20 @@ class Page:
 
     def text(self, containers: list[int]) -> str:
         """Blocks within any of the containers, in page order."""
-        spans = [(c, self.ends[c]) for c in containers]
-        return "\n\n".join(t for owner, t, _ in self.blocks if any(s <= owner < e for s, e in spans))
+        inside = [0] * (len(self.parents) + 1)
+        for c in containers:
+            inside[c] += 1
+            inside[self.ends[c]] -= 1
+        inside = list(itertools.accumulate(inside))
+        return "\n\n".join(t for owner, t, _ in self.blocks if inside[owner])
 
 
 def extract(source: str, paths: list[str]) -> str:
     """Main text by the first of ``paths`` that has text in the page, else by the page's own best container."""
     page = Page(source)
     for path in paths:
-        at = [i for i, p in enumerate(page.paths) if p == path]
+        digest = path_digest(path)
+        at = [i for i, p in enumerate(page.digests) if p == digest]
         if at and (text := page.text(at)):
             return text
     best = page.best()
@@ -250,7 +321,7 @@ def _votes(batches):
             at = page.best()
             if at is not None:
                 hosts.append(host)
-                paths.append(page.paths[at])
+                paths.append(page.path(at))
                 weights.append(1)
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(weights, pa.int64())], names=["host", "path", "votes"])
 
@@ -261,7 +332,11 @@ def host_of(url):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """Rows (host, paths): each host's winning paths in order of their votes, ties by path."""
+    """Rows (host, paths): each host's winning paths in order of their votes, ties by path.
+
+    Each row of ``pages`` votes once, repeated ones too; null and empty html and pages
+    without text have no vote; pages without a host share the empty host.
+    """
     votes = pages.select(host_of(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).mapInArrow(_votes, "host string, path string, votes long")
     counted = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     # partial top lists are cut per task before the exchange: a host with very many paths sends PATHS rows a task

@@ -195,7 +195,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The rows are those of smallest hash, whatever the input's size; of them
     only the distinct words of each whole text come to the driver, made in tasks. Rows with a null id or label take no
-    part; an identifier with several labels counts as its largest.
+    part; an identifier with several labels counts as its largest, one with several
+    texts as one of them.
     """
     chosen = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -217,14 +218,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for part in slices(batch, "text", BATCH_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed_bags(texts_of(part, "text")), pa.string())], names=["doc_id", "label", "bag"])
 
-    got = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, bag string").limit(2 * max_rows).collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["bag"]))[:max_rows]
+    bagged = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, bag string")
+    # of rows that repeat an identifier the one of the smallest bag: as many rows as identifiers
+    got = sorted(bagged.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("bag").alias("bag")).collect(), key=lambda r: r["doc_id"])
     return train([r["bag"] for r in got], np.array([r["label"] for r in got], dtype=int), packed=True)
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, score) of every whole text, score within 0..1; null text counts as empty and has the model's base rate.
 
+    Rows that repeat are scored each, those of a null identifier too; an empty table
+    gives an empty result.
+
     The model is one array of fixed size, sent with the function.
     """
     weights, bias = model
@@ -239,7 +244,10 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_
 
 
 def without_toxic(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose score is below ``threshold``; no shuffle."""
+    """The rows of ``docs``, all columns as they are, whose score is below ``threshold``; no shuffle.
+
+    Null and empty texts go by the model's base rate; repeated rows go or stay alike.
+    """
     weights, bias = model
     schema, at = docs.schema, docs.columns.index(text_col)
 

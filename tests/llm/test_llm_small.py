@@ -508,3 +508,53 @@ def test_lines_of_families_in_one_template(spark):
     got = {r["line_no"]: r["keep_line_no"] for r in fuzzy_lines.near_lines(docs(spark, ["\n".join(lines)])).collect()}
     pairs = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     assert pairs and sum(got[i] == got[j] for i, j in pairs) >= 0.97 * len(pairs)
+
+
+def test_equal_vectors_and_queries(spark):
+    """Ties go to the smaller identifier wherever equal vectors are; repeated queries count once; huge components do not overflow."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 37)) * 1e200
+    equal = [7, 64, 130, 131, 299]
+    x[equal] = x[7]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(500, x[7].tolist())] * 3 + [(600, (-x[7]).tolist())], df.schema)
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rabit.search(df, asked, 5).orderBy("query_id", "rank").collect()]
+    assert [g[2] for g in got[:5]] == equal and len({g[3] for g in got[:5]}) == 1 and math.isclose(got[0][3], 1.0)
+    assert len(got) == 10 and all(math.isfinite(g[3]) for g in got)
+
+
+@pytest.mark.parametrize("source", ["<div>" * 30_000 + "deep", "<a " * 30_000, "<span>" * 30_000 + "<p>x" * 3_000, '<a title="x' * 30_000, "<a b='\"> c" * 20_000, "</b>" * 30_000, "<li>" * 20_000 + "<!--", "<p>" + "<i>" * 20_000 + "<td>y" * 3_000])
+def test_hostile_pages_take_linear_time(source):
+    import time
+    import tracemalloc
+
+    began = time.perf_counter()
+    pages.Page(source)
+    assert time.perf_counter() - began < 6
+    tracemalloc.start()
+    pages.Page(source)
+    assert tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+
+
+def test_scripts_and_quotes_in_pages():
+    page = pages.Page("<p title='a > b'>one</p><script>if (a < b) '<p>no'</script><p>two <b x=\"y>z\">bold</b></p><textarea><p>no</textarea><p>three < four</p><!-- <p>no --><p data-x=it's>five</p>")
+    assert [t for _, t, _ in page.blocks] == ["one", "two bold", "three < four", "five"]
+
+
+def test_competing_paths_of_a_host(spark):
+    """The page's own best container loses to the host's path where both are in the page."""
+    main = "<div class=story><p>" + "word " * 30 + "</p></div>"
+    usual = f"<body><div class=promo2><p>x</p></div>{main}</body>"
+    odd = f"<body><div class=extra><p>{'other ' * 200}</p></div>{main}</body>"
+    df = spark.createDataFrame([(i, f"https://h.example/{i}", odd if i == 5 else usual) for i in range(6)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in pages.main_text(df).collect()}
+    assert set(got.values()) == {("word " * 30).strip()}
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, 0, 3, "a", 9), (2, 0, 2, "b", 8), (2, 1, 5, None, 7)], "doc_id long, piece int, length int, _group string, turn long")
+    got = pack.pack_pieces(df, 5)
+    assert got.columns == [*df.columns, "sequence_id", "offset"]
+    assert sorted((r["_group"] or "", r["turn"]) for r in got.collect()) == [("", 7), ("a", 9), ("b", 8)]
