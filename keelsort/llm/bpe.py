@@ -20,10 +20,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from keelsort.llm.common import slices, texts_of, words_of
+from keelsort.llm.common import slices, texts_of, tidied, words_of
 
 #: Text bytes whose distinct words are encoded together; bounds a task's memory.
-BATCH_BYTES = 16_000_000
+BATCH_BYTES = 8_000_000
 #: Pre-token pattern of the word-end vocabulary, for ASCII and Latin text (an exact subset of its rule).
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 #: Characters that the fast path takes as they are: ASCII (no control characters) and Latin letters with one-to-one lower case, all of them stable under NFC.
@@ -344,7 +344,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
                 text = [decode(vocab, listed[s:e]) for s, e in zip(b, b[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(text, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), _SCHEMA)
 
 
 def encoding_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,7 +376,7 @@ def encoding_digests(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
                 n = np.diff(np.concatenate([[0], enc.ends])).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def piece_lengths(docs: DataFrame, vocab_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -404,4 +404,4 @@ def piece_lengths(docs: DataFrame, vocab_path: str, capacity: int, end_id: int,
                             r.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), *(pa.array(r, pa.int64()) for r in rows[2:])], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long")

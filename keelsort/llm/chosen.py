@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from keelsort.llm.common import components, grouped, mix, plain_names, semi_by_filter, settle, slices, texts_of, without, word_hashes, words_of
+from keelsort.llm.common import components, grouped, mix, plain_names, semi_by_filter, settle, slices, texts_of, tidied, without, word_hashes, words_of
 
 COORDINATES = 128
 #: A node of the first LEVELS follows one coordinate, and every fourth one two: 1 / 0.8 on average. Deeper ones all follow two, so that a
@@ -123,9 +123,8 @@ def _set_rows(size: int):
                 del sets, offsets, sig, sums, raw
                 yield made
                 del made
-            pa.default_memory_pool().release_unused()
 
-    return run
+    return tidied(run)
 
 
 def children(path: np.ndarray, sig: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -349,7 +348,7 @@ def _coarse_links(reps: DataFrame, least: float, trees: int) -> DataFrame:
     with_sig = small[0].join(reps.select("rep", "sig"), "rep").select("path", "rep", "sig")
     for more in small[1:]:
         with_sig = with_sig.unionByName(more)
-    links = with_sig.repartition("path").sortWithinPartitions("path").mapInArrow(_compare(least), "src long, dst long")
+    links = with_sig.repartition("path").sortWithinPartitions("path").mapInArrow(tidied(_compare(least)), "src long, dst long")
     for more in stars:
         links = links.unionByName(more.select(F.greatest("rep", "dst").alias("src"), F.least("rep", "dst").alias("dst")).where("src <> dst"))
     return settle(links.distinct())
@@ -385,7 +384,7 @@ def _confirmed(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
         met = F.when(F.col("tied"), crossed).otherwise(F.concat(inward, among))
         tasks = tasks.unionByName(dealt.select("rep", F.explode(met).alias("task"), "tied"))
     asked = sets.join(tasks, "rep").select("task", "rep", "tied", "shingles")
-    found = settle(asked.repartition("task").sortWithinPartitions("task").mapInArrow(_confirm(percent), "src long, dst long"))
+    found = settle(asked.repartition("task").sortWithinPartitions("task").mapInArrow(tidied(_confirm(percent)), "src long, dst long"))
     return found if links is None else links.unionByName(found)
 
 
@@ -411,7 +410,7 @@ def _near_rows(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
                 sets, offsets = shingles(texts_of(part, "text"), size)
                 yield pa.RecordBatch.from_arrays([part.column(0), _binary(sets, offsets[1:])], names=["rep", "shingles"])
 
-    sets = settle(wanted.select("rep", "text").mapInArrow(sets_of, "rep long, shingles binary"))
+    sets = settle(wanted.select("rep", "text").mapInArrow(tidied(sets_of), "rep long, shingles binary"))
     found = components(_confirmed(sets, placed, percent))
     named = reps.select("k1", "k2", "n", "rep", F.col("place.doc_id").alias("low")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     least_id = named.where("component is not null").groupBy("component").agg(F.min("low").alias("least"))

@@ -6,6 +6,7 @@ the driver has a fixed size bound, stated where it is made.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -103,6 +104,41 @@ def plain_names(df: DataFrame):
     return df.toDF(*own), lambda out: out.select(own).toDF(*df.columns)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: a worker that is used again would keep the peak of every stage."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(function):
+    """A function over batches or one table that calls `tidy` after each of its batches, or at its end."""
+
+    @functools.wraps(function)
+    def run(given, *more):
+        out = function(given, *more)
+        if isinstance(out, pa.Table):
+            tidy()
+            return out
+        return _after_each(out)
+
+    return run
+
+
+def _after_each(out):
+    held = 0
+    for made in out:
+        yield made
+        held += 1
+        if held % 8 == 0:
+            del made
+            tidy()
+    tidy()
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int):
     """Split a record batch by rows so that ``column`` holds about ``max_bytes`` in each part."""
     col = batch.column(batch.schema.get_field_index(column))

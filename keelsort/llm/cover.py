@@ -18,15 +18,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from keelsort.llm.common import mix, parts_for, semi_by_filter, settle, slices, split_by_filter, texts_of, without, word_hashes, words_of
+from keelsort.llm.common import mix, parts_for, semi_by_filter, settle, slices, split_by_filter, texts_of, tidied, without, word_hashes, words_of
 
 #: A perfect difference cover and its period.
 COVER, PERIOD = (0, 1, 3), 7
 WINDOW = 13
 #: Text bytes that a task takes apart at once.
-BATCH_BYTES = 6_000_000
+BATCH_BYTES = 4_000_000
 #: Input bytes for each bucket of hashes; the number of buckets grows with the input.
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 4_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -179,14 +179,14 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     many = settle(digests.groupBy("d1", "d2", "d3").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1"))
     copies = settle(digests.join(many, ["d1", "d2", "d3"]).where("doc_id > least").select("key")).distinct()
     own = without(docs, copies, "key")
-    anchors = own.select("key", "text").mapInArrow(_anchors(buckets, window), "bucket int, hash binary, key binary, place binary")
+    anchors = own.select("key", "text").mapInArrow(tidied(_anchors(buckets, window)), "bucket int, hash binary, key binary, place binary")
     packed, listed = "slot int, key binary, place binary", "key long, places array<int>"
-    shared = anchors.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _shared(t, buckets), packed)
-    shared = settle(shared.repartition(buckets, "slot").groupBy("slot").applyInArrow(_gathered, listed))
+    shared = anchors.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tidied(lambda t: _shared(t, buckets)), packed)
+    shared = settle(shared.repartition(buckets, "slot").groupBy("slot").applyInArrow(tidied(_gathered), listed))
     held = semi_by_filter(docs, shared, "key").join(shared, "key").select("key", "doc_id", "text", "places")
-    found = held.mapInArrow(_windows(buckets, window), "bucket int, a binary, b binary, key binary, id binary, place binary")
-    found = found.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _repeats(t, buckets), packed)
-    found = found.repartition(buckets, "slot").groupBy("slot").applyInArrow(_gathered, listed)
+    found = held.mapInArrow(tidied(_windows(buckets, window)), "bucket int, a binary, b binary, key binary, id binary, place binary")
+    found = found.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(tidied(lambda t: _repeats(t, buckets)), packed)
+    found = found.repartition(buckets, "slot").groupBy("slot").applyInArrow(tidied(_gathered), listed)
     return settle(found.withColumn("whole", F.lit(False)).unionByName(copies.withColumn("places", F.expr("cast(array() as array<int>)")).withColumn("whole", F.lit(True))))
 
 
@@ -250,8 +250,8 @@ def removal_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = keyed.where("doc_id is not null")
     with_marks, plain = _each(known, window)
     return (
-        with_marks.select("doc_id", "text", "places", "whole").mapInArrow(run, out)
-        .unionByName(plain.unionByName(keyed.where("doc_id is null")).select("doc_id", "text").mapInArrow(run, out))
+        with_marks.select("doc_id", "text", "places", "whole").mapInArrow(tidied(run), out)
+        .unionByName(plain.unionByName(keyed.where("doc_id is null")).select("doc_id", "text").mapInArrow(tidied(run), out))
     )
 
 
@@ -281,4 +281,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     maybe, rest = split_by_filter(keyed, marks, "key")
     touched = maybe.join(marks, "key", "left").select(*plain.columns, "places", "whole")
-    return rest.select(*plain.columns).unionByName(touched.mapInArrow(run, plain.schema)).toDF(*names)
+    return rest.select(*plain.columns).unionByName(touched.mapInArrow(tidied(run), plain.schema)).toDF(*names)

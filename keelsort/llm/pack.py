@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from keelsort.llm.bpe import piece_lengths
-from keelsort.llm.common import plain_names, settle
+from keelsort.llm.common import plain_names, settle, tidied
 
 #: Tokens that one packing group takes on; more groups leave more bins partly filled.
 GROUP_TOKENS = 40_000_000
@@ -105,7 +105,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, open_bins: int = OPEN_BINS, gr
             yield pa.RecordBatch.from_arrays([*kept, pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
     fields = ", ".join(f"{name} {f.dataType.simpleString()}" for name, f in zip(names, pieces.schema.fields))
-    return dealt.mapInArrow(run, f"{fields}, sequence_id long, offset long").toDF(*pieces.columns, "sequence_id", "offset")
+    return dealt.mapInArrow(tidied(run), f"{fields}, sequence_id long, offset long").toDF(*pieces.columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, vocab_path: str, capacity: int = 4096, end_id: int = 1, open_bins: int = OPEN_BINS, group_tokens: int = GROUP_TOKENS) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from keelsort.llm.common import _M1, slices, texts_of, words_of
+from keelsort.llm.common import _M1, slices, texts_of, tidied, words_of
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -218,7 +218,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for part in slices(batch, "text", BATCH_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed_bags(texts_of(part, "text")), pa.string())], names=["doc_id", "label", "bag"])
 
-    bagged = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, bag string")
+    bagged = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(tidied(run), "doc_id long, label int, bag string")
     # of rows that repeat an identifier the one of the smallest bag: as many rows as identifiers
     got = sorted(bagged.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("bag").alias("bag")).collect(), key=lambda r: r["doc_id"])
     return train([r["bag"] for r in got], np.array([r["label"] for r in got], dtype=int), packed=True)
@@ -240,7 +240,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_
                 z = logits(texts_of(part, "text"), weights, bias)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1.0 / (1.0 + np.exp(-np.clip(z, -60, 60))))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: tuple[np.ndarray, float], text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -259,4 +259,4 @@ def without_toxic(docs: DataFrame, model: tuple[np.ndarray, float], text_col: st
                 keep = 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60))) < threshold
                 yield part.filter(pa.array(keep)).rename_columns(batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
