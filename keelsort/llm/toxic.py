@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from keelsort.llm.common import _M1, slices, texts_of, tidied, words_of
+from keelsort.llm.common import _M1, slices, texts_of, tidied, tidy, words_of
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
@@ -23,6 +23,8 @@ DIM = 4
 #: A bucket gets a vector that is in so many labelled texts and whose share of label 1 is so many standard errors off; weight decay of the fit.
 MIN_DOCS, LEAST_Z, DECAY = 4, 5.5, 1e-6
 BATCH_BYTES = 4_000_000
+#: Distinct words of the fit whose n-grams are made at once.
+WORDS_AT_ONCE = 20_000
 _P = np.uint32(0x01000193)
 
 
@@ -111,10 +113,15 @@ def train(texts: list[str], labels: np.ndarray, dim: int = DIM, rounds: int = 60
     if not len(texts) or len(set(np.asarray(labels).tolist())) < 2:
         return np.zeros(BUCKETS, np.float32), bias
     words, of_doc, doc_ends = unpacked_bags(texts) if packed else bags(pa.array(texts, pa.large_string()))
-    ids, per_word = subwords(words)
-    word_of = np.repeat(np.arange(len(words)), per_word)
+    del texts
+    # slice by slice: the n-grams of all words at once would be the driver's peak
+    parts = [subwords(words.slice(at, WORDS_AT_ONCE)) for at in range(0, len(words), WORDS_AT_ONCE)] or [subwords(words)]
+    ids, per_word = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    del parts
+    word_of = np.repeat(np.arange(len(words), dtype=np.int32), per_word)
     per_doc = np.diff(np.concatenate([[0], doc_ends]))
-    doc_of = np.repeat(np.arange(len(texts)), per_doc)
+    n_texts = len(per_doc)
+    doc_of = np.repeat(np.arange(n_texts, dtype=np.int32), per_doc)
     # only buckets tied to the label by a test of independence get a vector: others would learn texts by heart
     y1 = np.asarray(labels, dtype=np.int64)
     n, n1 = np.zeros(BUCKETS), np.zeros(BUCKETS)
@@ -139,17 +146,17 @@ def train(texts: list[str], labels: np.ndarray, dim: int = DIM, rounds: int = 60
     emb = rng.normal(0, 0.1, (len(used), dim))
     soft = rng.normal(0, 0.3, (dim, 2))
     b = np.array([0.0, bias])
-    y = np.zeros((len(texts), 2))
-    y[np.arange(len(texts)), np.asarray(labels, dtype=int)] = 1
+    y = np.zeros((n_texts, 2))
+    y[np.arange(n_texts), np.asarray(labels, dtype=int)] = 1
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (emb, soft, b)]
-    weight = 1.0 / len(texts)
+    weight = 1.0 / n_texts
     for t in range(1, rounds + 1):
         vec = np.empty((len(words), dim))
         for k in range(dim):
             vec[:, k] = np.bincount(word_of, emb[ids, k], len(words)) * w_scale
-        bag = np.empty((len(texts), dim))
+        bag = np.empty((n_texts, dim))
         for k in range(dim):
-            bag[:, k] = np.bincount(doc_of, vec[of_doc, k], len(texts)) * d_scale
+            bag[:, k] = np.bincount(doc_of, vec[of_doc, k], n_texts) * d_scale
         bag *= SCALE
         z = bag @ soft + b
         z -= z.max(axis=1, keepdims=True)
@@ -221,7 +228,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bagged = own.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(tidied(run), "doc_id long, label int, bag string")
     # of rows that repeat an identifier the one of the smallest bag: as many rows as identifiers
     got = sorted(bagged.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("bag").alias("bag")).collect(), key=lambda r: r["doc_id"])
-    return train([r["bag"] for r in got], np.array([r["label"] for r in got], dtype=int), packed=True)
+    own = np.array([r["label"] for r in got], dtype=int)
+    model = train([r["bag"] for r in got], own, packed=True)
+    del got
+    tidy()
+    return model
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
