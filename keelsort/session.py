@@ -45,12 +45,19 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
+def local_dir(master: str) -> str:
+    """Folder of intermediate tables of a local session; on a cluster no folder of one machine will do."""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "/tmp/checkpoints/keelsort"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below `spark.checkpoint.dir`; a local default is set only where that is unset."""
+    """A new folder below `spark.checkpoint.dir`; a local default is taken only where that is unset and all runs on one machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = known.get() if known.isDefined() else "/tmp/checkpoints/keelsort"
+        base = known.get() if known.isDefined() else local_dir(spark.sparkContext.master)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -36,3 +36,12 @@ def test_queries_match_their_sql(spark, sf, name):
 def test_the_library_stands_without_the_training_data_operators():
     code = "import sys; sys.modules['keelsort.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('op') for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=HERE, check=True, timeout=120)
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster():
+    from keelsort.session import local_dir
+
+    assert local_dir("local[8]").startswith("/")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://https://host"):
+        with pytest.raises(ValueError):
+            local_dir(master)
