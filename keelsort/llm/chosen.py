@@ -144,6 +144,14 @@ def _signature_matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, COORDINATES)
 
 
+def _once(path: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of the distinct pairs: both branches of a text may have chosen one coordinate."""
+    order = np.lexsort((path, rows))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (path[order[1:]] != path[order[:-1]]) | (rows[order[1:]] != rows[order[:-1]])
+    return order[new]
+
+
 def _first_paths(trees: int):
     def run(batches):
         for batch in batches:
@@ -157,6 +165,8 @@ def _first_paths(trees: int):
                     for level in range(LEVELS):
                         own, at_row = children(own, sig[who], level)
                         who = who[at_row]
+                    kept = _once(own, who)
+                    own, who = own[kept], who[kept]
                     yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(rep[who])], names=["path", "rep"])
 
     return run
@@ -170,6 +180,8 @@ def _next_paths(level: int):
             sig = _signature_matrix(batch.column(2))
             path = np.asarray(batch.column(0)).view(np.uint64)
             own, at_row = children(path, sig, level)
+            kept = _once(own, at_row)
+            own, at_row = own[kept], at_row[kept]
             # signatures travel with the rows of large nodes
             yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), batch.column(1).take(pa.array(at_row)), batch.column(2).take(pa.array(at_row))], names=["path", "rep", "sig"])
 
@@ -312,27 +324,35 @@ def _dense(crowd: DataFrame, alone: DataFrame, least: float) -> DataFrame:
 
 def _coarse_links(reps: DataFrame, least: float, trees: int) -> DataFrame:
     """Links (src, dst) that join all texts of ``reps(rep, sig)`` which signatures cannot tell apart, by trees of chosen paths."""
-    level, open_ = LEVELS, reps.select("rep", "sig").mapInArrow(_first_paths(trees), "path long, rep long").distinct()
+
+    def signed(rows: DataFrame) -> DataFrame:
+        """``rows(path, rep)`` with their signatures; only texts in question are sent."""
+        rows = settle(rows)
+        return rows.join(semi_by_filter(reps.select("rep", "sig"), rows.select("rep").distinct(), "rep"), "rep").select("path", "rep", "sig")
+
+    level, open_ = LEVELS, reps.select("rep", "sig").mapInArrow(_first_paths(trees), "path long, rep long")
     small, stars = [], []
     first, last = F.min(F.struct(F.xxhash64("rep", "path"), "rep")), F.max(F.struct(F.xxhash64("rep", "path"), "rep"))
     while True:
         open_ = settle(open_)
+        # a path that one text alone follows ends here, before its row meets others
+        shared = settle(open_.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+        held = settle(semi_by_filter(open_, shared, "path").join(shared, "path"))
         # nodes: members and two sums that tell their member sets apart
-        nodes = open_.groupBy("path").agg(
-            F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("s1"), F.expr("bit_xor(xxhash64(rep, 9))").alias("s2"),
+        nodes = settle(held.groupBy("path").agg(
+            F.first("m").alias("m"), F.expr("bit_xor(xxhash64(rep))").alias("s1"), F.expr("bit_xor(xxhash64(rep, 9))").alias("s2"),
             F.array(first["rep"], last["rep"], F.min("rep")).alias("centres"),
-        )
-        nodes = settle(nodes.where("m > 1"))
+        ))
         chosen = nodes.where(F.col("m") <= NODE_LIMIT).groupBy("s1", "s2", "m").agg(F.min("path").alias("path")).select("path")
-        small.append(open_.join(chosen, "path"))
+        small.append(held.drop("m").join(chosen, "path"))
         large = nodes.where(F.col("m") > NODE_LIMIT).drop("m")
         if not large.limit(1).count():
             break
         # of large nodes with the same texts one is looked at
         alone = large.groupBy("s1", "s2").agg(F.min(F.struct("path", "centres")).alias("one")).select("s1", "s2", "one.*")
-        crowd = open_.join(large.select("path"), "path")
+        crowd = held.drop("m").join(large.select("path"), "path")
         if level == LEVELS:
-            crowd = crowd.join(reps.select("rep", "sig"), "rep").select("path", "rep", "sig")
+            crowd = signed(crowd)
         crowd = settle(crowd)
         if level >= DEEPEST:
             # alike in all coordinates of the deepest path
@@ -343,9 +363,9 @@ def _coarse_links(reps: DataFrame, least: float, trees: int) -> DataFrame:
         stars.append(crowd.join(dense, "path").select("rep", "dst"))
         done = alone.join(dense, "path", "left_semi").select("s1", "s2")
         rest = large.join(done, ["s1", "s2"], "left_anti").select("path")
-        open_ = crowd.join(rest, "path").select("path", "rep", "sig").mapInArrow(_next_paths(level), "path long, rep long, sig binary").dropDuplicates(["path", "rep"])
+        open_ = crowd.join(rest, "path").select("path", "rep", "sig").mapInArrow(_next_paths(level), "path long, rep long, sig binary")
         level += 1
-    with_sig = small[0].join(reps.select("rep", "sig"), "rep").select("path", "rep", "sig")
+    with_sig = signed(small[0])
     for more in small[1:]:
         with_sig = with_sig.unionByName(more)
     links = with_sig.repartition("path").sortWithinPartitions("path").mapInArrow(tidied(_compare(least)), "src long, dst long")
@@ -355,20 +375,20 @@ def _coarse_links(reps: DataFrame, least: float, trees: int) -> DataFrame:
 
 
 def _confirmed(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Links (src, dst) of texts alike on full sets that join all such texts of each coarse component of ``placed(rep, component, m)``; ``sets(rep, shingles)``.
+    """Links (src, dst) of texts alike on full sets that join all such texts of each coarse component of ``placed(rep, component, m)``; ``sets(rep, component, m, shingles)``.
 
     A component of up to BLOCK texts is one group of a task. Of a larger one, each text
     is first held against the component's centre, its smallest text; what that links is
     one from then on. Only the others still meet all texts, block by block: with all
     linked to the centre, nothing is copied.
     """
-    tasks = placed.where(F.col("m") <= BLOCK).select("rep", F.xxhash64("component").alias("task"), F.lit(False).alias("tied"))
-    many = placed.where(F.col("m") > BLOCK).select("rep", "component")
+    asked = sets.where(F.col("m") <= BLOCK).select(F.xxhash64("component").alias("task"), "rep", F.lit(False).alias("tied"), "shingles")
+    many, crowd = placed.where(F.col("m") > BLOCK).select("rep", "component"), sets.where(F.col("m") > BLOCK)
     links = None
     if many.limit(1).count():
-        heads = settle(sets.withColumnRenamed("shingles", "head").join(many.where("rep = component"), "rep").select("component", "head").dropDuplicates(["component"]))
+        heads = settle(crowd.where("rep = component").select("component", F.col("shingles").alias("head")).dropDuplicates(["component"]))
         small = (heads.agg(F.sum(F.octet_length("head"))).first()[0] or 0) <= BROADCAST_NODES * 1024
-        star = sets.join(many.where("rep <> component"), "rep").join(F.broadcast(heads) if small else heads, "component").select("rep", "component", "shingles", "head")
+        star = crowd.where("rep <> component").join(F.broadcast(heads) if small else heads, "component").select("rep", "component", "shingles", "head")
         links = settle(star.mapInArrow(_confirm_star(percent), "src long, dst long"))
         tied = links.select(F.col("src").alias("rep")).distinct().withColumn("tied", F.lit(True))
         known = many.join(tied, "rep", "left").withColumn("tied", F.coalesce("tied", F.lit(False)) | (F.col("rep") == F.col("component")))
@@ -382,8 +402,8 @@ def _confirmed(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
         inward = F.transform(inners, lambda o: F.xxhash64("component", F.lit(0), block, o))
         among = F.transform(outers, lambda o: F.xxhash64("component", F.lit(1), F.least(block, o), F.greatest(block, o)))
         met = F.when(F.col("tied"), crossed).otherwise(F.concat(inward, among))
-        tasks = tasks.unionByName(dealt.select("rep", F.explode(met).alias("task"), "tied"))
-    asked = sets.join(tasks, "rep").select("task", "rep", "tied", "shingles")
+        left = semi_by_filter(crowd, counts, "component").select("rep", "shingles")
+        asked = asked.unionByName(left.join(dealt.select("rep", F.explode(met).alias("task"), "tied"), "rep").select("task", "rep", "tied", "shingles"))
     found = settle(asked.repartition("task").sortWithinPartitions("task").mapInArrow(tidied(_confirm(percent)), "src long, dst long"))
     return found if links is None else links.unionByName(found)
 
@@ -402,15 +422,15 @@ def _near_rows(docs: DataFrame, size: int, percent: int, id_col: str, text_col:
     groups = components(_coarse_links(reps, least, trees))
     members = groups.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
     placed = settle(groups.join(members, "component").select(F.col("node").alias("rep"), "component", "m").join(reps.select("rep", "place"), "rep").select("rep", "component", "m", "place.*"))
-    wanted = semi_by_filter(own, placed, "doc_id").join(placed.select("rep", "doc_id", "mark"), ["doc_id", "mark"])
+    wanted = semi_by_filter(own, placed, "doc_id").join(placed, ["doc_id", "mark"]).select("rep", "component", "m", "text")
 
     def sets_of(batches):
         for batch in batches:
             for part in slices(batch, "text", BATCH_BYTES):
                 sets, offsets = shingles(texts_of(part, "text"), size)
-                yield pa.RecordBatch.from_arrays([part.column(0), _binary(sets, offsets[1:])], names=["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], _binary(sets, offsets[1:])], names=["rep", "component", "m", "shingles"])
 
-    sets = settle(wanted.select("rep", "text").mapInArrow(tidied(sets_of), "rep long, shingles binary"))
+    sets = settle(wanted.mapInArrow(tidied(sets_of), "rep long, component long, m long, shingles binary"))
     found = components(_confirmed(sets, placed, percent))
     named = reps.select("k1", "k2", "n", "rep", F.col("place.doc_id").alias("low")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     least_id = named.where("component is not null").groupBy("component").agg(F.min("low").alias("least"))
