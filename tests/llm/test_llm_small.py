@@ -558,3 +558,21 @@ def test_packing_keeps_columns_of_any_name(spark):
     got = pack.pack_pieces(df, 5)
     assert got.columns == [*df.columns, "sequence_id", "offset"]
     assert sorted((r["_group"] or "", r["turn"]) for r in got.collect()) == [("", 7), ("a", 9), ("b", 8)]
+
+
+def test_lines_of_one_template_below_the_threshold_are_not_compared_by_text(spark, monkeypatch):
+    """Lines that share bands but are no links go by their bit sets: what is left open does not grow with the square of the group."""
+    rng = random.Random(5)
+    base, lines = words(60, 72), []
+    for _ in range(150):
+        line = list(base)
+        for at in rng.sample(range(60), 8):
+            line[at] = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+        lines.append(" ".join(line))
+    sets = [{x[k : k + 8] for k in range(len(x) - 7)} for x in lines]
+    near = sum(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i in range(150) for j in range(i))
+    opened, own = [], fuzzy_lines._open_pairs
+    monkeypatch.setattr(fuzzy_lines, "_open_pairs", lambda *a: (opened.append(own(*a).persist()), opened[0])[1])
+    got = {r["line_no"]: r["keep_line_no"] for r in fuzzy_lines.near_lines(docs(spark, ["\n".join(lines)])).collect()}
+    assert len(got) == 150 and sum(k != v for k, v in got.items()) <= near
+    assert opened[0].count() <= near + 10
