@@ -576,3 +576,17 @@ def test_lines_of_one_template_below_the_threshold_are_not_compared_by_text(spar
     got = {r["line_no"]: r["keep_line_no"] for r in fuzzy_lines.near_lines(docs(spark, ["\n".join(lines)])).collect()}
     assert len(got) == 150 and sum(k != v for k, v in got.items()) <= near
     assert opened[0].count() <= near + 10
+
+
+def test_neighbours_copy_the_index_once_for_short_queries(spark, monkeypatch):
+    """Queries travel in blocks of some bytes: 1,100 short ones are one block, and meet one copy of the index."""
+    x = np.random.default_rng(8).normal(size=(1100, 4))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    blocks, own = {}, rabit._packed
+    monkeypatch.setattr(rabit, "_packed", lambda rows, key, n, kind: (blocks.__setitem__(key, n), own(rows, key, n, kind))[1])
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in rabit.search(df, df, 2).collect()}
+    assert blocks["turn"] == 1
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T
+    np.fill_diagonal(near, -2)
+    assert len(got) == 2200 and all(got[i, 1] == int(near[i].argmax()) for i in range(1100))
