@@ -590,3 +590,17 @@ def test_neighbours_copy_the_index_once_for_short_queries(spark, monkeypatch):
     near = unit @ unit.T
     np.fill_diagonal(near, -2)
     assert len(got) == 2200 and all(got[i, 1] == int(near[i].argmax()) for i in range(1100))
+
+
+def test_copies_of_copies_are_one_class(spark):
+    """Copies of copies end in one class."""
+    rng = random.Random(17)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = [" ".join(letters(5) for _ in range(60))]
+    while len(lines) < 500:
+        line = rng.choice(lines).split(" ")
+        for at in rng.sample(range(60), 2):
+            line[at] = letters(5)
+        lines.append(" ".join(line))
+    got = {r["line_no"]: r["keep_line_no"] for r in fuzzy_lines.near_lines(docs(spark, ["\n".join(lines)])).collect()}
+    assert set(got.values()) == {0}
